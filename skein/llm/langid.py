@@ -167,3 +167,18 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageFilter, id_col
         docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text")),
         run, "doc_id long, held_out boolean, lang_pred string, score double",
     )
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, model: LanguageFilter, min_score: float = 0.2, text_col: str = "text") -> DataFrame:
+    """Rows, with all their columns, whose language is recognised.
+
+    Rejected: ``und``, and scores below ``min_score``, the share of n-grams that
+    the best language holds beyond chance.
+    """
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [sent.value.predict(x) for x in utf8(batch, text_col)]
+        return batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in got], pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)

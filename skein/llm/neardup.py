@@ -225,7 +225,7 @@ def nodes(classes: DataFrame, node: int = NODE, levels: int = LEVELS) -> list[Da
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node: int = NODE,
                     group: int = GROUP, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row.
+    """``(doc_id, n_shingles, component_id, kept, text_hash)`` for every row.
 
     Null texts and texts without words have no shingles, are linked with
     nothing and are kept.  Fewer than five words make one shingle.  The
@@ -276,7 +276,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = classes.select("id", "first_id").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = stage_table(labelled.join(least, "component").select("id", "component_id"), "components")
-    return rows.join(named, "id", "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    component = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    found = rows.join(named, "id", "left").select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
