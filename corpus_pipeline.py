@@ -1,13 +1,70 @@
-"""Training-corpus pipeline."""
+"""Training-corpus pipeline: five operators over ``documents``, in order.
+
+Every stage takes and returns the columns of ``documents``, but for the last,
+which returns piece ids.  ``run`` writes each stage's rows to the shared folder
+and gives the next one what it reads back.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import decontam, langid, linespread, neardup, pieces
+from skein.llm.common import stage_table
+
+#: Stages that sample or sketch have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognised language go."""
+    return langid.keep_identified(spark, docs, langid.learn(docs))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cross-site lines stay in their first document only; texts that lose all
+    their words by that go, and ``n_chars`` follows the text."""
+    found = linespread.remove_boilerplate(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    cleaned = found.where(~F.coalesce(emptied, F.lit(False)))
+    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the one with the smallest id stays."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    hashed = docs.withColumn("kept_text", F.xxhash64("text"))
+    same = (F.col("kept_text") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    return hashed.join(kept, same, "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by the benchmark go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    found = decontam.decontaminate(spark, keyed, benchmark, id_col="text_key", near=False)
+    bad = stage_table(found.where("contaminated").select(F.col("doc_id").alias("text_key")).distinct(), "contaminated")
+    return keyed.join(bad, "text_key", "left_anti").select(docs.columns)
+
+
+def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document that is left."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("piece_encoding", piece_encoding),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stage_table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
