@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import arrow_map, mix, utf8, window_hashes, word_hashes
 
-#: Rows of ``labels`` used for fitting and calibration, at most; of more, those
+#: Rows of each label used for fitting and calibration, at most; of more, those
 #: with the smallest hash of their id are taken.
-MAX_LABELLED = 4_000
+MAX_LABELLED = 1_250
 #: Bytes of a labelled text used for fitting.  Scoring always reads whole texts.
-MAX_FIT_BYTES = 6_000
+MAX_FIT_BYTES = 4_000
 #: Buckets of each of the four feature blocks.
 BUCKETS = 1 << 15
 BLOCKS = 4
@@ -94,14 +94,17 @@ class QualityModel:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def fit_quality(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
                 max_labelled: int = MAX_LABELLED, steps: int = 120) -> QualityModel:
-    """Fit on rows of ``(id, text, label 0/1)``.
-
-    At most ``max_labelled`` rows are used (smallest id hash first), so the
-    driver holds a bounded sample.  Rows with a null text or label are left
-    out.  A fifth of the rows, chosen by id hash, only calibrates.  With one
-    class only, or no rows, the model gives every text the smoothed base rate.
+    """Fit on the texts of labelled rows, label 0 or 1.
+
+    At most ``max_labelled`` rows of each label are picked (smallest id hash
+    first) before their texts are looked up, so what is broadcast to the
+    documents and what the driver holds is bounded.  Null texts and labels are
+    left out; an id that several rows have brings each of their texts.  A fifth
+    of the rows, chosen by id hash, only calibrates; probabilities are put back
+    to the labels' true shares.  With one class only, or too few rows, the
+    model gives every text the smoothed base rate.
     """
     shift = BUCKETS * np.arange(BLOCKS)
 
@@ -122,25 +125,28 @@ def fit_quality(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "te
             names=["rank", "label", "ids", "vals"],
         )
 
-    rows = labelled.select(
-        F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("rank"),
-        F.col(label_col).cast("int").alias("label"),
-        F.substring(F.col(text_col), 1, MAX_FIT_BYTES).alias("text"),
-    ).where("text is not null and label is not null")
-    picked = rows.orderBy("rank", F.xxhash64("text")).limit(max_labelled).repartition(16)
-    got = sorted(map(tuple, arrow_map(picked, features, "rank long, label int, ids binary, vals binary").collect()))
+    keyed = labels.select(
+        F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"),
+        F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("rank")).where("label in (0, 1) and id is not null")
+    picked = [keyed.where(F.col("label") == k).orderBy("rank", "id").limit(max_labelled) for k in (0, 1)]
+    total = {r["label"]: r["n"] for r in keyed.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, MAX_FIT_BYTES).alias("text"))
+    rows = texts.where("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("rank", "label", "text")
+    got = sorted(map(tuple, arrow_map(rows, features, "rank long, label int, ids binary, vals binary").collect()))
     y = np.array([r[1] for r in got], np.float64)
     ids = [np.frombuffer(r[2], np.int32) for r in got]
     vals = [np.frombuffer(r[3], np.float32) for r in got]
     held = np.array([r[0] % 5 == 0 for r in got], bool)
     weights = np.zeros((BLOCKS, BUCKETS))
-    rate = (y.sum() + 1) / (len(y) + 2)
-    if min(y.sum(), len(y) - y.sum()) < 5 or not held.any() or held.all():
+    rate = (total.get(1, 0) + 1) / (sum(total.values()) + 2)
+    few = lambda x: min(x.sum(), len(x) - x.sum()) < 5
+    if few(y[held]) or few(y[~held]):
         return QualityModel(weights, float(np.log(rate / (1 - rate))))
     at, bias = _descend([ids[i] for i in np.flatnonzero(~held)], [vals[i] for i in np.flatnonzero(~held)], y[~held], steps)
     model = QualityModel(at.reshape(BLOCKS, BUCKETS), bias)
     z = np.array([bias + at[ids[i]] @ vals[i] for i in np.flatnonzero(held)])
     model.slope, model.offset = _platt(z, y[held])
+    model.offset += float(np.log(total[1] / total[0]) - np.log(y[held].sum() / (held.sum() - y[held].sum())))
     return model
 
 
@@ -150,12 +156,13 @@ def _descend(ids: list[np.ndarray], vals: list[np.ndarray], y: np.ndarray, steps
     keep = [i for i in range(n) if len(ids[i])]
     col, val = np.concatenate([ids[i] for i in keep]), np.concatenate([vals[i] for i in keep])
     sizes = np.array([len(ids[i]) for i in keep])
-    row, starts = np.repeat(np.array(keep), sizes), np.cumsum(sizes) - sizes
-    val = val / np.sqrt(np.bincount(col, val**2, size) / n + 1e-9)[col].astype(np.float32)
-    scale = 1 / np.sqrt(np.bincount(col, np.concatenate([vals[i] for i in keep]) ** 2, size) / n + 1e-9)
+    row, starts = np.repeat(np.array(keep, np.int32), sizes), np.cumsum(sizes) - sizes
+    scale = 1 / np.sqrt(np.bincount(col, val**2, size) / n + 1e-9)
+    val = (val * scale[col]).astype(np.float32)
     order = np.argsort(col, kind="stable")
     col_row, col_val = row[order], val[order]
     used, col_starts = np.unique(col[order], return_index=True)
+    del row, order
     w, bias = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     each = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max(n - y.sum(), 1))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontam, langid, linespread, neardup, quality, shards, tokencount, urlrules
+from skein.llm import decontam, langid, linespread, neardup, order, pieces, quality, shards, tokencount, urlrules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,9 +16,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    labelled = labels.select("doc_id", "quality").join(docs.select("doc_id", "text"), "doc_id")
-    return quality.quality(spark, docs, quality.fit_quality(labelled))
+    docs = _table(spark, sf_dir, "documents")
+    return quality.quality(spark, docs, quality.fit_quality(docs, _table(spark, sf_dir, "labels")))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +30,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +55,11 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(spark, _table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return order.order_in_shared_folder(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, end_id=50256)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linespread.remove_boilerplate(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", "text")
@@ -67,8 +75,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_sharding": op3_sharding,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_piece_sampling": op5_piece_sampling,
     "op6_language_id": op6_language_id,
     "op7_url_filters": op7_url_filters,
+    "op8_training_order": op8_training_order,
     "op9_line_dedup": op9_line_dedup,
     "op10_decontamination": op10_decontamination,
 }
