@@ -25,8 +25,9 @@ BAND = 5
 #: Pieces into which a line's occurrences fall before their sketches merge.
 PIECES = 16
 
-_GAP = r"[\x20\x09-\x0D]+"
-_WORD = r"[^\x20\x09-\x0D]+"
+# Anchored and possessive: linear in the line, also where it has no blank.
+_GAP = r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]++"
 
 
 def boilerplate_lines(occurrences: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -66,7 +67,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col(id_col).cast("long").alias("doc"), F.col(site_col).cast("string").alias("site"), F.col(text_col).cast("string").alias("text"),
     ).withColumn("text_hash", F.xxhash64("text"))
     lines = key.select("doc", "text_hash", "site", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = lines.where(F.col("line").rlike(f"{_WORD}(?:{_GAP}{_WORD}){{{min_words - 1}}}") if min_words > 0 else F.lit(True))
+    lines = lines.where(F.col("line").rlike(rf"\A{_GAP}*+{_WORD}(?:{_GAP}++{_WORD}){{{min_words - 1}}}") if min_words > 0 else F.lit(True))
     occurrences = stage_table(
         lines.select("doc", "text_hash", "site", "place", F.xxhash64("line").alias("h1"), F.hash("line", F.length("line")).alias("h2"),
                      F.pmod(F.xxhash64("text_hash", "place"), F.lit(PIECES)).cast("int").alias("piece")), "lines")
