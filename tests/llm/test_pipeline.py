@@ -1,0 +1,77 @@
+"""The pipeline's stages, each on its own input, against plain computations."""
+
+from collections import Counter
+
+import pytest
+from test_operators import components_by_hand, contamination_by_hand
+
+import corpus_pipeline
+from skein.llm.queries import ORACLES, QUERIES
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir, tmp_path_factory):
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = str(tmp_path_factory.mktemp("stage") / name)
+        found = stage(spark, docs, sf_dir)
+        found.write.parquet(path)
+        before, docs = docs, spark.read.parquet(path)
+        out[name] = before.collect(), docs.collect()
+    return out
+
+
+def test_stages_keep_the_columns(stages):
+    for name, (before, after) in stages.items():
+        assert len(after) <= len(before)
+        if name != "piece_encoding" and after:
+            assert after[0].asDict().keys() == before[0].asDict().keys()
+
+
+def test_near_dedup_keeps_one_of_each_group(stages):
+    before, after = stages["near_dedup"]
+    groups = components_by_hand([(r.doc_id, r.text) for r in before])
+    assert sorted(r.doc_id for r in after) == sorted(k for k, (_, c) in groups.items() if k == c)
+
+
+def test_decontamination_drops_what_is_contaminated(spark, sf_dir, stages):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    before, after = stages["decontamination"]
+    assert {r.doc_id for r in after} == {r.doc_id for r in before if not contamination_by_hand(r.text, items)[-1]}
+
+
+def test_language_id_keeps_clean_documents(stages):
+    before, after = stages["language_id"]
+    assert len(after) >= 0.98 * len(before)
+
+
+def test_line_dedup_only_takes_lines(stages):
+    before, after = stages["line_dedup"]
+    texts = {r.doc_id: r.text for r in before}
+    for r in after:
+        left = Counter(texts[r.doc_id].split("\n"))
+        left.subtract(r.text.split("\n"))
+        assert min(left.values()) >= 0 and r.n_chars == len(r.text)
+
+
+def test_all_is_encoded(spark, sf_dir, stages):
+    before, after = stages["piece_encoding"]
+    assert {r.doc_id for r in before} == {r.doc_id for r in after} and all(r.lossless for r in after)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, duck, sf_dir, name):
+    want = duck.execute(ORACLES[name]).df()
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    names = sorted(want.columns)
+    assert names == sorted(got.columns)
+    assert Counter(map(tuple, got[names].astype(str).values.tolist())) == Counter(map(tuple, want[names].astype(str).values.tolist()))
+
+
+def test_odd_rows_and_empty_tables(spark, sf_dir):
+    rows = [(1, None, None, None, None), (None, "a b c d e f", "en", "s", 11), (2, "", "en", "s", 0), (2, "", "en", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, sf_dir)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() <= 4
