@@ -112,21 +112,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     combined before the shuffle.  Rounds are cut by shared-folder tables.
     Nodes without an edge to another node are not returned.
     """
-    e = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
+    e = stage_table(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct(), "edges")
     while True:
-        e = stage_table(e.select("a", "b"), "edges")
-        first = e.groupBy("a").agg(F.min("b").alias("p"))
+        by_node = e.select("a", "b").repartition("a")
+        first = by_node.groupBy("a").agg(F.min("b").alias("p"))
         up = first.select(F.col("a").alias("q"), F.col("p").alias("pp"))
         jumped = first.join(up, first.p == up.q, "left").select(
             "a", F.coalesce("pp", "p").alias("b"), F.col("pp").isNotNull().alias("moved")
         )
-        rest = e.join(first, "a").where("b != p").select(
+        rest = by_node.join(first, "a").where("b != p").select(
             F.greatest("b", "p").alias("a"), F.least("b", "p").alias("b"), F.lit(True).alias("moved")
         )
-        nxt = stage_table(
-            jumped.unionByName(rest).groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges"
-        )
-        if nxt.where("moved").limit(1).count() == 0:
-            roots = nxt.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-            return nxt.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
-        e = nxt
+        e = stage_table(jumped.unionByName(rest).groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges")
+        if not e.where("moved").take(1):
+            roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
+            return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)

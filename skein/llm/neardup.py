@@ -3,19 +3,22 @@
 Documents with the same shingle set form a class; classes are what is joined.
 Each of several independent trees branches the classes by minwise tokens: a
 node's children are named by a chosen coordinate of the MinHash signature and
-its value, and a class goes to one child for each coordinate chosen there.
-Nodes of up to ``NODE`` classes are compared exhaustively; larger ones branch
-again, by two fresh coordinates, and what is still large at the last level is
-compared exhaustively in blocks.  A pair of similarity s gets through the root
-of a tree with probability s and through each further level with 1-(1-s)^2, so
-``TREES`` trees find a pair of similarity 0.75 with probability above 1-1e-5
-down to the last level.  Signatures only propose; every link is confirmed on
-full shingle sets.
+its value.  Nodes of up to ``NODE`` classes are compared exhaustively; larger
+ones branch again, by two fresh coordinates, and what is still large at the
+last level is compared exhaustively in blocks.  A pair of similarity s gets
+through the root of a tree with probability s and through each further level
+with 1-(1-s)^2, so ``TREES`` trees find a pair of similarity 0.75 with
+probability above 1-1e-5 down to the last level.
+
+A node proposes groups: classes whose signatures agree, each around its
+smallest id, the hub.  Groups of one hub are united over all trees, their texts
+are fetched once a hub, and every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +36,12 @@ LINK = 75
 COORDS, AGREE = 64, 30
 TREES, LEVELS = 12, 5
 #: Classes of a node that is compared exhaustively.
-NODE = 512
-#: Proposed groups beyond these sizes are confirmed node by node instead.
-GROUP, GROUP_SHINGLES = 384, 1_500_000
+NODE = 16_384
+#: Shingles of a group that is confirmed at once; larger groups are confirmed
+#: as all pairs of blocks of half as many.
+GROUP_SHINGLES = 3_000_000
+#: Members up to which all pairs of a group are intersected together.
+DENSE = 384
 
 _A = np.array([xxhash.xxh3_64_intdigest(b"coordinate", seed=k) | 1 for k in range(COORDS)], np.uint64)
 
@@ -48,12 +54,18 @@ def shingle_set(data: bytes | None) -> np.ndarray:
     return np.unique(window_hashes(word_hashes(words), min(SHINGLE, len(words))))
 
 
-def signature(s: np.ndarray) -> bytes:
-    """One byte of the minimum under each of ``COORDS`` hash functions."""
+def minima(s: np.ndarray) -> np.ndarray:
+    """Hash of the minimum under each of ``COORDS`` hash functions."""
     low = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(s), 4096):
         np.minimum(low, (s[lo : lo + 4096][None, :] * _A[:, None]).min(axis=1), out=low)
-    return (mix(low) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return mix(low)
+
+
+def signature(s: np.ndarray) -> tuple[bytes, bytes]:
+    """One byte of each minimum, and whole minima for the trees' roots."""
+    low = minima(s)
+    return (low >> np.uint64(56)).astype(np.uint8).tobytes(), low[:TREES].tobytes()
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -78,42 +90,48 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         yield dict(zip(names, group))
 
 
-def _by_group(rows: DataFrame, fn: Callable[[dict[str, list]], list[tuple[bytes, bytes]]]) -> DataFrame:
-    """Edges ``(a, b)`` that ``fn`` finds in each group of the first column."""
+def _by_group(rows: DataFrame, fn: Callable[[dict[str, list]], list[tuple]], out: dict[str, pa.DataType]) -> DataFrame:
+    """Rows that ``fn`` makes of each group of the first column."""
     key = rows.columns[0]
+    schema = ", ".join(f"{k} {'binary' if pa.types.is_binary(t) else 'long'}" for k, t in out.items())
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*found) if found else [()] * len(out)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out.values())], names=list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[bytes, bytes]] = []
+        found: list[tuple] = []
         for group in _runs(batches):
             if len(group[key]) > 1:
-                out += fn(group)
-            if len(out) > 50_000:
-                yield _edges(out)
-                out = []
-        yield _edges(out)
-
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, "a binary, b binary")
+                found += fn(group)
+            if len(found) > 50_000:
+                yield batch(found)
+                found = []
+        yield batch(found)
 
-
-def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def _stars(ids: list[bytes], label: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """Edges from each member of a label's group to the group's smallest id."""
-    groups: dict[int, list[bytes]] = {}
-    for name, k in zip(ids, label.tolist()):
-        groups.setdefault(k, []).append(name)
-    return [(x, min(g)) for g in groups.values() if len(g) > 1 for x in g if x != min(g)] if groups else []
-
-
-def propose(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
-    """Link proposals among a node's classes, as stars of linear size."""
-    known = dict(zip(group["id"], group["sig"]))
+    """``(member, smallest id)`` of each label with two members or more."""
+    order = np.argsort(label, kind="stable")
+    edges = np.flatnonzero(np.diff(label[order])) + 1
+    out = []
+    for part in np.split(order, edges):
+        if len(part) > 1:
+            names = [ids[k] for k in part.tolist()]
+            hub = min(names)
+            out += [(x, hub) for x in names]
+    return out
+
+
+def propose(group: dict[str, list]) -> list[tuple[bytes, bytes, int]]:
+    """``(member, hub, shingles)`` of the classes whose signatures agree."""
+    known = {x: (s, n) for x, s, n in zip(group["id"], group["sig"], group["n"])}
     ids = sorted(known)
     if len(ids) < 2:
         return []
-    s = np.frombuffer(b"".join(known[x] for x in ids), np.uint8).reshape(len(ids), COORDS)
+    s = np.frombuffer(b"".join(known[x][0] for x in ids), np.uint8).reshape(len(ids), COORDS)
     label = np.arange(len(ids))
     for i in range(len(ids) - 1):
         other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
@@ -121,15 +139,11 @@ def propose(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
             near = other[np.count_nonzero(s[other] == s[i], axis=1) >= AGREE]
             for k in np.unique(label[near]).tolist():
                 label[label == k] = label[i]
-    return _stars(ids, label)
+    return [(x, hub, known[x][1]) for x, hub in _stars(ids, label)]
 
 
 def confirm(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
-    """Exact links among a group's members, as stars of linear size.
-
-    Intersections of all pairs are products of 0/1 rows over the shingles that
-    two members share, a block of shingles at a time.
-    """
+    """Exact links among a group's members, as stars of linear size."""
     sets: dict[bytes, np.ndarray] = {}
     for name, data in zip(group["id"], group["text"]):
         if name not in sets:
@@ -137,28 +151,52 @@ def confirm(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
             if xxhash.xxh3_128_digest(s.tobytes()) == name:
                 sets[name] = s
     ids = sorted(sets)
-    m = len(ids)
-    if m < 2:
+    if len(ids) < 2:
         return []
-    size = np.array([len(sets[x]) for x in ids], np.int64)
-    if m == 2:
-        both = np.array([[0, np.intersect1d(sets[ids[0]], sets[ids[1]], assume_unique=True).size]] * 2)
-        both = np.maximum(both, both.T)
-    else:
-        both = _intersections([sets[x] for x in ids])
-    linked = 100 * both >= LINK * (size[:, None] + size[None, :] - both)
-    label = np.full(m, -1)
-    for i in range(m):
+    found = [sets[x] for x in ids]
+    return _stars(ids, _label_dense(found) if len(ids) <= DENSE else _label_sparse(found))
+
+
+def _linked(both, a, b):  # noqa: ANN001, ANN202
+    return 100 * both >= LINK * (a + b - both)
+
+
+def _label_dense(sets: list[np.ndarray]) -> np.ndarray:
+    """Components by the intersections of all pairs."""
+    size = np.array([len(s) for s in sets], np.int64)
+    if len(sets) == 2:
+        both = np.intersect1d(sets[0], sets[1], assume_unique=True).size
+        return np.array([0, 0 if _linked(both, size[0], size[1]) else 1])
+    linked = _linked(_intersections(sets), size[:, None], size[None, :])
+    label = np.full(len(sets), -1)
+    for i in range(len(sets)):
         if label[i] < 0:
-            new = np.zeros(m, bool)
+            new = np.zeros(len(sets), bool)
             new[i] = True
             while new.any():
                 label[new] = i
                 new = linked[new].any(axis=0) & (label < 0)
-    return _stars(ids, label)
+    return label
+
+
+def _label_sparse(sets: list[np.ndarray]) -> np.ndarray:
+    """Components, without checking pairs that are in one already."""
+    size = np.array([len(s) for s in sets], np.int64)
+    sig = np.frombuffer(b"".join(signature(s)[0] for s in sets), np.uint8).reshape(len(sets), COORDS)
+    label = np.arange(len(sets))
+    for i in range(len(sets) - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if not len(other):
+            continue
+        for j in other[np.count_nonzero(sig[other] == sig[i], axis=1) >= AGREE].tolist():
+            if label[j] != label[i] and _linked(np.intersect1d(sets[i], sets[j], assume_unique=True).size, size[i], size[j]):
+                label[label == label[j]] = label[i]
+    return label
 
 
 def _intersections(sets: list[np.ndarray], block: int = 4096) -> np.ndarray:
+    """Sizes of all pairs' intersections: products of 0/1 rows over the shingles
+    that two sets share, a block of shingles at a time."""
     shingles, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = count[column] > 1
@@ -176,55 +214,60 @@ def _intersections(sets: list[np.ndarray], block: int = 4096) -> np.ndarray:
     return both.astype(np.int64)
 
 
+_NODE_ROW = "key long, id binary, sig binary, n long"
+
+
 def _children(level: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-    """Branch rows ``(key, id, sig)``; at the root, one child for each tree."""
+    """Branch rows ``(key, id, sig, n)``; at the root, a child for each tree."""
 
     def branch(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
-        at = {x: k for k, x in enumerate(batch.schema.names)}
-        sig = np.frombuffer(b"".join(batch.column(at["sig"]).to_pylist()), np.uint8).reshape(n, COORDS).astype(np.uint64)
+        at = {x: batch.column(k) for k, x in enumerate(batch.schema.names)}
         if level == 0:
-            parents, coords = [np.full(n, t, np.uint64) for t in range(TREES)], [np.full(n, t) for t in range(TREES)]
+            roots = np.frombuffer(b"".join(at["roots"].to_pylist()), np.uint64).reshape(n, TREES)
+            keys = [mix(roots[:, t] + np.uint64(t + 1)) for t in range(TREES)]
         else:
-            key = np.asarray(batch.column(at["key"]).to_pylist(), np.int64).view(np.uint64)
+            sig = np.frombuffer(b"".join(at["sig"].to_pylist()), np.uint8).reshape(n, COORDS).astype(np.uint64)
+            key = at["key"].to_numpy().view(np.uint64)
             # The node's own hash chooses its coordinates, alike for all rows.
             chosen = [(mix(key + np.uint64(101 * level + j)) % np.uint64(COORDS)).astype(np.int64) for j in range(2)]
             chosen[1] = np.where(chosen[0] == chosen[1], (chosen[1] + 1) % COORDS, chosen[1])
-            parents, coords = [key, key], chosen
-        keys = [mix(p * np.uint64(0x9E3779B97F4A7C15) + c.astype(np.uint64) * np.uint64(257) + sig[np.arange(n), c] + np.uint64(1 + level)) for p, c in zip(parents, coords)]
-        ids, sigs = batch.column(at["id"]), batch.column(at["sig"])
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate(keys).view(np.int64)),
-            pa.concat_arrays([ids] * len(keys)), pa.concat_arrays([sigs] * len(keys)),
-        ], names=["key", "id", "sig"])
+            keys = [mix(key * _A[level] + c.astype(np.uint64) * np.uint64(257) + sig[np.arange(n), c]) for c in chosen]
+        same = [pa.concat_arrays([at[x]] * len(keys)) for x in ("id", "sig", "n")]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *same], names=["key", "id", "sig", "n"])
 
     return branch
 
 
-_NODE_ROW = "key long, id binary, sig binary"
-
-
 def nodes(classes: DataFrame, node: int = NODE, levels: int = LEVELS) -> list[DataFrame]:
-    """Rows ``(key, id, sig)`` of all nodes small enough to be compared."""
-    found, rows = [], arrow_map(classes.select("id", "sig"), _children(0), _NODE_ROW)
+    """Rows ``(key, id, sig, n)`` of all nodes small enough to be compared.
+
+    Sizes are counted before anything is brought together, so a node that is
+    too large never meets in one task.
+    """
+    found, rows = [], arrow_map(classes.select("id", "sig", "roots", "n"), _children(0), _NODE_ROW)
     for level in range(1, levels + 1):
-        large = stage_table(rows.groupBy("key").count().where(F.col("count") > node), "large")
-        if large.limit(1).count() == 0:
+        large = stage_table(rows.groupBy("key").count().where(F.col("count") > node), "large-nodes")
+        if not large.take(1):
             return [*found, rows]
         found.append(rows.join(large, "key", "left_anti"))
-        rest = rows.join(large, "key", "left_semi").select("key", "id", "sig")
         if level < levels:
+            rest = rows.join(large, "key", "left_semi")
             rows = stage_table(arrow_map(rest, _children(level), _NODE_ROW).dropDuplicates(["key", "id"]), "branches")
     # Still large: all pairs of blocks of half a node.
-    blocks = rows.join(large, "key").withColumn("blocks", F.ceil(F.col("count") * 2 / node).cast("int"))
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pairs = blocks.withColumn("mine", mine).select(
-        "key", "id", "sig", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    return [*found, pairs.select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"), "id", "sig")]
+    return [*found, _block_pairs(rows.join(large, "key"), ["key"], F.ceil(F.col("count") * 2 / node)).select(
+        F.xxhash64("key", "low", "high").alias("key"), "id", "sig", "n")]
+
+
+def _block_pairs(rows: DataFrame, key: list[str], blocks) -> DataFrame:  # noqa: ANN001
+    """Each row once for every pair of blocks, ``low`` and ``high``, that its own
+    block is in; one block makes one pair."""
+    mine = rows.withColumn("blocks", blocks.cast("int")).withColumn("mine", F.pmod(F.xxhash64("id", *key), F.col("blocks")).cast("int"))
+    spread = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node: int = NODE,
-                    group: int = GROUP, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node: int = NODE, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, text_hash)`` for every row.
 
     Null texts and texts without words have no shingles, are linked with
@@ -240,42 +283,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             s = shingle_set(data)
             n.append(len(s))
             ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-            sigs.append(signature(s) if len(s) else None)
+            sigs.append(signature(s) if len(s) else (None, None))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())],
-            names=["doc_id", "text_hash", "n_shingles", "id", "sig"])
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *(pa.array([x[k] for x in sigs], pa.binary()) for k in (0, 1))],
+            names=["doc_id", "text_hash", "n_shingles", "id", "sig", "roots"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = stage_table(
         arrow_map(texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), profile,
-                  "doc_id long, text_hash long, n_shingles long, id binary, sig binary"), "profiles")
-    classes = stage_table(
-        rows.where("id is not null").groupBy("id").agg(
-            F.min("sig").alias("sig"), F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"),
-            F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("row")), "classes")
-    levels = nodes(classes, node)
-    proposals = None
-    for rows_of in levels:
-        found = _by_group(rows_of, propose)
-        proposals = found if proposals is None else proposals.unionByName(found)
-    groups = components(stage_table(proposals.distinct(), "proposals")).withColumnRenamed("component", "grp")
-    members = stage_table(groups.join(classes, "id").select("id", "grp", "n_shingles", "row.doc_id", "row.text_hash"), "members")
-    sizes = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    is_large = (F.col("n") > group) | (F.col("s") > group_shingles)
-    large = stage_table(sizes.where(is_large).select("grp"), "large-groups")
+                  "doc_id long, text_hash long, n_shingles long, id binary, sig binary, roots binary"), "profiles")
+    # Rows of one class are alike but for where their text is.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash", "sig", "roots", "n_shingles")).alias("row")
+    classes = stage_table(rows.where("id is not null").groupBy("id").agg(first).select(
+        "id", "row.doc_id", "row.text_hash", "row.sig", "row.roots", F.col("row.n_shingles").alias("n")), "classes")
+
+    member = {"id": pa.binary(), "hub": pa.binary(), "n": pa.int64()}
+    found = [_by_group(x, propose, member) for x in nodes(classes, node)]
+    groups = stage_table(reduce(DataFrame.unionByName, found).distinct(), "groups")
+    wanted = groups.select("id").distinct().join(classes.select("id", F.col("doc_id").alias("at_doc"), "text_hash"), "id")
     candidates = stage_table(
-        texts.select(F.col("doc_id").alias("row_id"), "text", F.xxhash64("text").alias("text_hash"))
-        .join(members, "text_hash").where(F.col("row_id").eqNullSafe(F.col("doc_id")))
-        .select("id", "grp", F.col("text").cast("binary").alias("text")), "candidates")
-    links = _by_group(candidates.join(large, "grp", "left_anti").select("grp", "id", "text"), confirm)
-    if large.limit(1).count():
-        hot = candidates.join(large, "grp", "left_semi").select("id", "text")
-        for rows_of in levels:
-            links = links.unionByName(_by_group(rows_of.select("key", "id").join(hot, "id").select("key", "id", "text"), confirm))
-    linked = components(stage_table(links.distinct(), "links"))
-    labelled = classes.select("id", "first_id").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
+        texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash")
+        .where(F.col("doc_id").eqNullSafe(F.col("at_doc"))).select("id", F.col("text").cast("binary").alias("text")), "candidates")
+    sizes = groups.groupBy("hub").agg(F.sum("n").alias("shingles"))
+    blocks = F.when(F.col("shingles") <= group_shingles, 1).otherwise(F.ceil(F.col("shingles") * 2 / group_shingles))
+    placed = _block_pairs(groups.join(sizes, "hub"), ["hub"], blocks)
+    keyed = placed.select(F.xxhash64("hub", "low", "high").alias("grp"), "id").join(candidates, "id").select("grp", "id", "text")
+    links = _by_group(keyed, confirm, {"a": pa.binary(), "b": pa.binary()})
+
+    linked = components(links)
+    labelled = classes.select("id", "doc_id").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = stage_table(labelled.join(least, "component").select("id", "component_id"), "components")
     component = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    found = rows.join(named, "id", "left").select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+    out = rows.select("doc_id", "n_shingles", "text_hash", "id").join(named, "id", "left").select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
