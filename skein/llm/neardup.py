@@ -8,7 +8,7 @@ ones branch again, by two fresh coordinates, and what is still large at the
 last level is compared exhaustively in blocks.  A pair of similarity s gets
 through the root of a tree with probability s and through each further level
 with 1-(1-s)^2, so ``TREES`` trees find a pair of similarity 0.75 with
-probability above 1-1e-5 down to the last level.
+probability above 1-1e-7 at the roots and 1-1e-4 down to the last level.
 
 A node proposes groups: classes whose signatures agree, each around its
 smallest id, the hub.  Groups of one hub are united over all trees, their texts
