@@ -33,7 +33,7 @@ ALPHA = 1.0
 #: Pieces scored below this are never used by the model itself.
 LEAST_SCORE = -1e8
 #: Characters of the texts that are segmented together.
-BATCH_CHARS = 2 << 20
+BATCH_CHARS = 1 << 20
 
 _NOT_MARK = 0x110001  # stands for a mark that the text itself has
 _M = np.uint64(0x9E3779B97F4A7C15)
