@@ -7,6 +7,7 @@ labelled rows it was not fitted on, and scored in Arrow batches.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,12 +19,12 @@ from skein.llm.common import arrow_map, mix, utf8, window_hashes, word_hashes
 
 #: Rows of each label used for fitting and calibration, at most; of more, those
 #: with the smallest hash of their id are taken.
-MAX_LABELLED = 1_250
-#: Bytes of a labelled text used for fitting.  Scoring always reads whole texts.
-MAX_FIT_BYTES = 4_000
+MAX_LABELLED = 4_000
 #: Buckets of each of the four feature blocks.
 BUCKETS = 1 << 15
 BLOCKS = 4
+#: Features that a step of fitting works on at a time, about.
+CHUNK = 1 << 20
 #: A text is kept if its calibrated probability of good quality reaches this.
 KEEP_AT = 0.5
 
@@ -100,29 +101,18 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     At most ``max_labelled`` rows of each label are picked (smallest id hash
     first) before their texts are looked up, so what is broadcast to the
-    documents and what the driver holds is bounded.  Null texts and labels are
-    left out; an id that several rows have brings each of their texts.  A fifth
+    documents is bounded.  Executors read the whole texts, as scoring does; a
+    text sends its buckets and their counts, ``BLOCKS * BUCKETS`` at most,
+    however long it is.  Null texts and labels are left out; an id that several rows have brings each of their texts.  A fifth
     of the rows, chosen by id hash, only calibrates; probabilities are put back
     to the labels' true shares.  With one class only, or too few rows, the
     model gives every text the smoothed base rate.
     """
-    shift = BUCKETS * np.arange(BLOCKS)
-
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids, vals = [], []
-        for data in utf8(batch, "text"):
-            h = word_hashes(data.split())
-            at, v = [], []
-            for k, block in enumerate(feature_ids(data, h)):
-                if len(block):
-                    u, n = np.unique(block, return_counts=True)
-                    at.append(u + shift[k])
-                    v.append(n / len(block))
-            ids.append(np.concatenate(at).astype(np.int32).tobytes() if at else b"")
-            vals.append(np.concatenate(v).astype(np.float32).tobytes() if v else b"")
+        sizes, packed = zip(*map(_pack, utf8(batch, "text"))) if batch.num_rows else ((), ())
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(vals, pa.binary())],
-            names=["rank", "label", "ids", "vals"],
+            [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())],
+            names=["rank", "label", "size", "packed"],
         )
 
     keyed = labels.select(
@@ -130,48 +120,76 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("rank")).where("label in (0, 1) and id is not null")
     picked = [keyed.where(F.col("label") == k).orderBy("rank", "id").limit(max_labelled) for k in (0, 1)]
     total = {r["label"]: r["n"] for r in keyed.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.col(text_col).cast("string"), 1, MAX_FIT_BYTES).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = texts.where("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("rank", "label", "text")
-    got = sorted(map(tuple, arrow_map(rows, features, "rank long, label int, ids binary, vals binary").collect()))
+    got = sorted(map(tuple, arrow_map(rows, features, "rank long, label int, size int, packed binary").collect()))
     y = np.array([r[1] for r in got], np.float64)
-    ids = [np.frombuffer(r[2], np.int32) for r in got]
-    vals = [np.frombuffer(r[3], np.float32) for r in got]
     held = np.array([r[0] % 5 == 0 for r in got], bool)
     weights = np.zeros((BLOCKS, BUCKETS))
     rate = (total.get(1, 0) + 1) / (sum(total.values()) + 2)
     few = lambda x: min(x.sum(), len(x) - x.sum()) < 5
     if few(y[held]) or few(y[~held]):
         return QualityModel(weights, float(np.log(rate / (1 - rate))))
-    at, bias = _descend([ids[i] for i in np.flatnonzero(~held)], [vals[i] for i in np.flatnonzero(~held)], y[~held], steps)
+    sizes = np.array([r[2] for r, h in zip(got, held) if not h], np.int64)
+    col, val = np.empty(sizes.sum(), np.int32), np.empty(sizes.sum(), np.float32)
+    for end, n, i in zip(np.cumsum(sizes), sizes, np.flatnonzero(~held)):
+        col[end - n : end], val[end - n : end] = _unpack(got[i][3])
+    at, bias = _descend(col, val, sizes, y[~held], steps)
     model = QualityModel(at.reshape(BLOCKS, BUCKETS), bias)
-    z = np.array([bias + at[ids[i]] @ vals[i] for i in np.flatnonzero(held)])
+    tested = (_unpack(got[i][3]) for i in np.flatnonzero(held))
+    z = np.array([bias + at[ids] @ vals for ids, vals in tested])
     model.slope, model.offset = _platt(z, y[held])
     model.offset += float(np.log(total[1] / total[0]) - np.log(y[held].sum() / (held.sum() - y[held].sum())))
     return model
 
 
-def _descend(ids: list[np.ndarray], vals: list[np.ndarray], y: np.ndarray, steps: int, l2: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on features scaled to unit mean square; deterministic."""
+def _pack(data: bytes) -> tuple[int, bytes]:
+    """Number of features of a text, and its buckets and their counts."""
+    found = [np.unique(x, return_counts=True) for x in feature_ids(data, word_hashes(data.split()))]
+    sizes = np.array([len(u) for u, _ in found], np.int64)
+    counts, at = [n.astype(np.uint32) for _, n in found], [u.astype(np.uint16) for u, _ in found]
+    return int(sizes.sum()), zlib.compress(b"".join(x.tobytes() for x in (sizes, *counts, *at)), 1)
+
+
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers and relative frequencies from ``_pack``."""
+    raw = zlib.decompress(packed)
+    sizes = np.frombuffer(raw, np.int64, BLOCKS)
+    n = int(sizes.sum())
+    counts = np.frombuffer(raw, np.uint32, n, sizes.nbytes)
+    block = np.repeat(np.arange(BLOCKS), sizes)
+    ids = BUCKETS * block + np.frombuffer(raw, np.uint16, n, sizes.nbytes + counts.nbytes)
+    return ids.astype(np.int32), (counts / np.bincount(block, counts, BLOCKS)[block]).astype(np.float32)
+
+
+def _descend(col: np.ndarray, val: np.ndarray, sizes: np.ndarray, y: np.ndarray, steps: int, l2: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on features scaled to unit mean square; deterministic.
+
+    ``sizes`` features of each row follow one another.  They are gone through
+    in chunks of whole rows, so nothing else of their number is held.
+    """
     n, size = len(y), BLOCKS * BUCKETS
-    keep = [i for i in range(n) if len(ids[i])]
-    col, val = np.concatenate([ids[i] for i in keep]), np.concatenate([vals[i] for i in keep])
-    sizes = np.array([len(ids[i]) for i in keep])
-    row, starts = np.repeat(np.array(keep, np.int32), sizes), np.cumsum(sizes) - sizes
-    scale = 1 / np.sqrt(np.bincount(col, val**2, size) / n + 1e-9)
-    val = (val * scale[col]).astype(np.float32)
-    order = np.argsort(col, kind="stable")
-    col_row, col_val = row[order], val[order]
-    used, col_starts = np.unique(col[order], return_index=True)
-    del row, order
+    ends = np.cumsum(sizes)
+    rows = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], CHUNK)), n))
+    chunks = [(slice(a, b), slice(ends[a] - sizes[a], ends[b - 1])) for a, b in zip(np.append(0, rows), rows) if b > a]
+    square = np.zeros(size)
+    for _, c in chunks:
+        square += np.bincount(col[c], val[c] ** 2, size)
+    scale = 1 / np.sqrt(square / n + 1e-9)
     w, bias = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     each = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max(n - y.sum(), 1))
     for t in range(1, steps + 1):
-        z = np.full(n, bias)
-        z[keep] += np.add.reduceat(w[col] * val, starts)
-        e = each * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
-        g, gb = l2 * w, e.sum()
-        g[used] += np.add.reduceat(e[col_row] * col_val, col_starts)
+        ws, g, gb = w * scale, np.zeros(size), 0.0
+        for r, c in chunks:
+            some = sizes[r] > 0
+            z = np.full(len(some), bias)
+            if some.any():
+                z[some] += np.add.reduceat(ws[col[c]] * val[c], (np.cumsum(sizes[r]) - sizes[r])[some])
+            e = each[r] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[r])
+            g += np.bincount(col[c], np.repeat(e, sizes[r]) * val[c], size)
+            gb += e.sum()
+        g = g * scale + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a = 0.02 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)

@@ -74,6 +74,17 @@ def test_quality_learns_on_other_rows(spark):
     assert right >= 295
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rng = random.Random(2)
+    good, bad = [f"w{k}en" for k in range(300)], [f"{k}%%%" for k in range(300)]
+    same = "all of them open with these words " * 200
+    rows = [(k, same + " ".join(rng.choices(good if k % 2 else bad, k=600)), k % 2) for k in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = quality.fit_quality(docs, spark.createDataFrame([(r[0], r[2]) for r in rows[:150]], "doc_id long, quality int"))
+    got = {r.doc_id: r for r in quality.quality(spark, docs, model).collect()}
+    assert all((got[k].p_good >= 0.5) == bool(q) for k, _, q in rows[150:])
+
+
 def test_quality_odd_rows(spark, odd, empty):
     one_class = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int")
     model = quality.fit_quality(odd, one_class)
