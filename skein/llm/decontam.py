@@ -6,7 +6,8 @@ ascending.  It is stored once in the shared folder; document frequencies are
 summed over all segments.  A phrase is looked up from its rarest term: that
 term's positions, less its offset, are the candidate starts, and each further
 term, in order of rarity, cuts them to those it stands at too.  What is left
-are exact matches.  Proximity matches come from the same lists with slack.
+are exact matches.  Proximity matches come from the same lists with slack, and
+start at each of a window's rarest terms, as many as a match may lack and one.
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ WINDOW = 13
 SEGMENT_BYTES = 4 << 20
 #: Bytes of benchmark text looked up at a time; more are looked up in blocks.
 BLOCK_BYTES = 8 << 20
-#: A proximity match has this many of a window's words within so many places.
+#: A proximity match has this many of a window's words within so many places,
+#: counted from where one of the rarest of them puts the window.
 NEAR_WORDS, NEAR_SLACK = 11, 3
+#: Starts of proximity matches looked at together, about.
+NEAR_STARTS = 1 << 19
 #: Places between documents, so that no window and no slack spans two.
 _GAP = WINDOW + 2 * NEAR_SLACK
 
@@ -205,29 +209,44 @@ def look_up(p: Phrases, terms: np.ndarray, counts: np.ndarray, positions: np.nda
     row = np.arange(len(p.windows))
     rarest = p.order[:, 0]
     first = p.windows[row, rarest]
-    some = np.flatnonzero(here[first] > 0)
-    every = np.all((here[p.windows] > 0) | (p.windows < 0), axis=1)
-    if not near:
-        some = some[every[some]]
+    some = np.flatnonzero(np.all((here[p.windows] > 0) | (p.windows < 0), axis=1))
     at, run = _ragged(begin[first[some]], here[first[some]])
-    window = some[run]
-    start = positions[at].astype(np.int64) - rarest[window] + _GAP
-    exact_w, exact_s = window[every[window]], start[every[window]]
+    exact_w = some[run]
+    exact_s = positions[at].astype(np.int64) - rarest[exact_w] + _GAP
     for k in range(1, p.windows.shape[1]):
         offset = p.order[exact_w, k]
         term = p.windows[exact_w, offset]
         stay = (term < 0) | (tokens[exact_s + offset] == term)
         exact_w, exact_s = exact_w[stay], exact_s[stay]
-    if near:
-        score = np.zeros(len(window), np.int32)
-        for k in range(p.windows.shape[1]):
-            term, hit = p.windows[window, k], np.zeros(len(window), bool)
-            for slack in range(-NEAR_SLACK, NEAR_SLACK + 1):
-                hit |= tokens[np.clip(start + k + slack, 0, len(tokens) - 1)] == term
-            score += hit & (term >= 0)
-        close = score >= np.minimum(NEAR_WORDS, p.length[window])
-        return exact_w, exact_s - _GAP, window[close], start[close] - _GAP
-    return exact_w, exact_s - _GAP, exact_w[:0], exact_s[:0]
+    near_w, near_s = _look_near(p, here, begin, positions, tokens) if near else (exact_w[:0], exact_s[:0])
+    return exact_w, exact_s - _GAP, near_w, near_s - _GAP
+
+
+def _look_near(p: Phrases, here: np.ndarray, begin: np.ndarray, positions: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proximity matches.  Of one more term than a match may lack, one is in it."""
+    spare = p.length - np.minimum(NEAR_WORDS, p.length)
+    lacking = np.count_nonzero((here[p.windows] == 0) & (p.windows >= 0), axis=1)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for k in range(int(spare.max(initial=-1)) + 1):
+        offset = p.order[:, k]
+        term = p.windows[np.arange(len(p.windows)), offset]
+        some = np.flatnonzero((spare >= k) & (lacking <= spare) & (here[term] > 0))
+        cuts = np.flatnonzero(np.diff(np.cumsum(here[term[some]]) // NEAR_STARTS)) + 1
+        for part in np.split(some, cuts):
+            at, run = _ragged(begin[term[part]], here[term[part]])
+            w = part[run]
+            s, left = positions[at].astype(np.int64) - offset[w] + _GAP, spare[w]
+            for j in range(p.windows.shape[1]):
+                o = p.order[w, j]
+                t = p.windows[w, o]
+                hit = t < 0
+                for slack in range(-NEAR_SLACK, NEAR_SLACK + 1):
+                    hit |= tokens[s + o + slack] == t
+                left = left - ~hit
+                stay = left >= 0
+                w, s, left = w[stay], s[stay], left[stay]
+            out.append((w, s))
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -437,6 +437,19 @@ def test_proximity(spark):
     assert (got[1].item_ids, got[1].near_item_ids) == ([], ["7"]) and (got[2].item_ids, got[2].near_item_ids) == (["7"], ["7"]) and got[3].near_item_ids == []
 
 
+def test_proximity_without_the_rarest_words(spark):
+    phrase = [f"p{k}" for k in range(13)]
+    change = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(phrase))
+    often = " ".join(phrase[:4] + phrase[5:])
+    texts = [change(4), change(4, 5), change(4, 5, 6), change(0, 12), often, " ".join(phrase[:5])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for items in ([(7, " ".join(phrase))], [(7, change(4).replace("x", "nowhere"))]):
+        found = decontam.decontaminate(spark, docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+        got = {r.doc_id: r.near_item_ids for r in found}
+        assert [got[k] for k in (0, 1, 2, 5)] == [["7"], ["7"], [], []]
+        assert got[4] == ["7"]
+
+
 def test_decontamination_odd_rows(spark, odd, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     got = decontam.decontaminate(spark, odd, none).collect()
