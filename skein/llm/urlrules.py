@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import arrow_map
 
-#: Labelled urls used for mining, about; of more, those thinned by a hash.
-MAX_LABELLED = 200_000
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.9
 #: Rules kept, strongest first.  They go to every executor.
 MAX_RULES = 10_000
@@ -76,8 +74,8 @@ class MinedRule:
     support: float
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_labelled: int = MAX_LABELLED) -> list[MinedRule]:
-    """Rules ``tokens -> label`` from rows ``(tokens, label)``.
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[MinedRule]:
+    """Rules ``tokens -> label`` from all rows ``(tokens, label)``.
 
     A rule stays if it is more confident than the label's share, and than
     every stayed rule of fewer of its tokens.  No rows give no rules.
@@ -85,9 +83,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
     n = labelled.count()
     if n == 0:
         return []
-    share = F.pmod(F.xxhash64("tokens"), F.lit(1 << 20)) < int(min(1.0, max_labelled / n) * (1 << 20))
     shares = {r["label"]: r["count"] / n for r in labelled.groupBy("label").count().collect()}
-    baskets = labelled.where(share).select(F.array_append("tokens", F.concat(F.lit("label="), F.col("label"))).alias("items"))
+    baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("label="), F.col("label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where(F.col("consequent")[0].startswith("label="))
     found = found.select("antecedent", F.substring(F.col("consequent")[0], 7, 1_000).alias("label"), "confidence", "support")

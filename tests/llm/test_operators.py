@@ -334,6 +334,12 @@ def test_url_odd_rows_and_mined_rules(spark):
     assert urlrules.mine(labelled.limit(0)) == [] and urlrules.judge(spark, df.limit(0), URL_RULES).count() == 0
 
 
+def test_rules_of_many_equal_token_sets(spark):
+    rows = spark.range(260_000).selectExpr("array(concat('path:s', id % 20)) AS tokens", "if(id % 2 = 0, 'allow', 'block') AS label")
+    got = {r.items: (r.label, r.confidence, round(r.support, 6)) for r in urlrules.mine(rows)}
+    assert got == {(f"path:s{k}",): ("block" if k % 2 else "allow", 1.0, 0.05) for k in range(20)}
+
+
 # 8 ---------------------------------------------------------------------------
 def test_training_order(spark, documents, tmp_path):
     df = spark.createDataFrame([(d.doc_id, d.text) for d in documents], "doc_id long, text string").repartition(5)
