@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,6 +41,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path as a URI: one without a scheme is in the default filesystem."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    uri = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def stage_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -48,7 +56,56 @@ def stage_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     """
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.staged_path = path
+    return table
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        hadoop = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        hadoop.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def is_table(df: DataFrame) -> bool:
+    """True for Parquet files that are scanned, projected and filtered, no more:
+    rows come in the order of the files, and each has an address in them."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return plan.relation().fileFormat().getClass().getSimpleName() == "ParquetFileFormat"
+
+
+def as_table(df: DataFrame, name: str = "rows") -> DataFrame:
+    """``df`` itself if its rows have addresses, else a staged copy."""
+    return df if is_table(df) else stage_table(df, name)
+
+
+def address(table: DataFrame) -> list[Column]:
+    """``file`` and ``place`` of each row: a hash of its file's name, and its
+    number there.  Unlike ids, every row has its own, in every run and split."""
+    at = table.metadataColumn("_metadata")
+    return [F.xxhash64(at["file_path"]).alias("file"), at["row_index"].alias("place")]
+
+
+@contextmanager
+def pinned(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Session settings (dots as two underscores) for the time of a block."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
@@ -123,7 +180,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         rest = by_node.join(first, "a").where("b != p").select(
             F.greatest("b", "p").alias("a"), F.least("b", "p").alias("b"), F.lit(True).alias("moved")
         )
-        e = stage_table(jumped.unionByName(rest).groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges")
+        before, e = e, stage_table(jumped.unionByName(rest).groupBy("a", "b").agg(F.max("moved").alias("moved")), "edges")
+        unstage(before)
         if not e.where("moved").take(1):
             roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
             return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)

@@ -3,8 +3,8 @@
 Texts become token ids, packed end to end into sequences of one length.  A
 keyed Feistel permutation with cycle-walking gives every sequence its slot in
 the training order: no shuffle buffer, no table of the order, and the inverse
-can be computed.  Slots fall into shards of equal size; each shard is written
-as one file of fixed-stride records, so that a reader finds any slot by
+can be computed.  Slots are dealt by ranges, one task a shard; each shard is
+one file of fixed-stride records, so that a reader finds any slot by
 arithmetic, reads on from there, and resumes anywhere.
 """
 
@@ -13,7 +13,8 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +23,17 @@ import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from skein.llm.common import arrow_map, shared_path, stage_table
+from skein.llm.common import as_table, pinned, qualified, shared_path, stage_table, unstage
+from skein.llm.parts import PartStore, groups
 
 SEQ_TOKENS = 1024
 #: Bytes of a record: ids are unsigned 16-bit, little endian.
 STRIDE = 2 * SEQ_TOKENS
 SHARD_SEQS = 8_192
+#: Splits whose places are broadcast, at most.
+MAX_SPLITS = 4_000_000
 ROUNDS = 6
 
 _ENCODINGS: dict[str, object] = {}
@@ -85,119 +90,221 @@ class Feistel:
         return self._walk(slot, True)
 
 
-def sequences(docs: DataFrame, ranks_path: str, pattern: str, end_id: int, seq_tokens: int = SEQ_TOKENS, text_col: str = "text") -> DataFrame:
-    """Packed sequences ``(part, seq, n_tokens, ids)`` in the shared folder.
+_FRAGMENT = "slot long, shard int, at int, ids binary"
+_MANIFEST = "slot long, shard int, offset long, seq long, n_tokens int, crc32 long"
 
-    Within a partition, texts follow each other, each ended by ``end_id``; the
-    last sequence is filled up with it and ``n_tokens`` counts what is real.
-    """
-    stride = 2 * seq_tokens
+
+def _ids(store: PartStore, texts: list[str | None], end_id: int) -> Iterator[np.ndarray]:
+    """Ids of the texts, each ended by ``end_id``, a bounded stretch at a time."""
+    for _, some, ends in groups(texts):
+        parts = store.of(some)
+        n = np.array([len(v) // 2 for v in parts.values], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.frombuffer(b"".join(parts.values), np.uint16)))
+        flat = lists.take(pa.array(parts.index)).flatten().to_numpy()
+        yield np.insert(flat, np.cumsum(parts.sums(n))[np.array(ends)], end_id)
+
+
+def _count(ranks_path: str, pattern: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Tokens of each run of rows, end marks included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_encoding(ranks_path, pattern).encode_ordinary
-        left, seq, part = b"", 0, None
+        store, totals = PartStore(lambda new: [len(encode(p)) for p in new]), {}
         for batch in batches:
-            part = batch.column(0)[0].as_py() if batch.num_rows else part
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 512):
-                flat: list[int] = []
-                for t in texts[lo : lo + 512]:
-                    if t is not None:
-                        flat += encode(t)
-                        flat.append(end_id)
-                data = left + np.array(flat, np.uint16).astype("<u2").tobytes()
-                n = len(data) // stride
-                yield _packed(part, seq, [seq_tokens] * n, [data[k * stride : (k + 1) * stride] for k in range(n)])
-                left, seq = data[n * stride :], seq + n
-        if left:
-            fill = np.full((stride - len(left)) // 2, end_id, "<u2").tobytes()
-            yield _packed(part, seq, [len(left) // 2], [left + fill])
-
-    rows = docs.select(F.spark_partition_id().alias("part"), F.col(text_col).cast("string").alias("text"))
-    return stage_table(rows.mapInArrow(run, "part int, seq long, n_tokens int, ids binary"), "sequences", compression="zstd")
-
-
-def _packed(part: int | None, seq: int, n_tokens: list[int], ids: list[bytes]) -> pa.RecordBatch:
-    n = len(ids)
-    return pa.RecordBatch.from_arrays([
-        pa.array([part] * n, pa.int32()), pa.array(range(seq, seq + n), pa.int64()), pa.array(n_tokens, pa.int32()), pa.array(ids, pa.binary())],
-        names=["part", "seq", "n_tokens", "ids"])
+            texts, found = batch.column(2).to_pylist(), np.zeros(batch.num_rows, np.int64)
+            for numbers, some, ends in groups(texts):
+                parts = store.of(some)
+                np.add.at(found, numbers, parts.sums(np.array(parts.values, np.int64)) + np.array(ends))
+            for k, n in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), found.tolist()):
+                totals[k] = totals.get(k, 0) + n
+        paths, starts = zip(*totals) if totals else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(starts, pa.int64()), pa.array(totals.values(), pa.int64())], names=["path", "start", "n"])
 
+    return run
 
-def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, end_id: int, key: int = 0,
-                seq_tokens: int = SEQ_TOKENS, shard_seqs: int = SHARD_SEQS, text_col: str = "text") -> DataFrame:
-    """Write the shards under ``path``; return a manifest row per sequence.
 
-    ``(slot, shard, offset, part, seq, n_tokens, crc32)``: the record of
-    ``slot`` begins at byte ``offset`` of ``shard-<shard>.bin``.  Every slot
-    from 0 to the number of sequences less 1 is used once.
+def _cut(order: Feistel, ranks_path: str, pattern: str, end_id: int, seq_tokens: int, shard_seqs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What each run of rows gives to the sequences that it reaches into."""
 
-    Null texts are left out; an empty text is an end mark alone; repeated rows
-    are packed each; other columns are not read; an empty table writes nothing.
-    Ids must fit 16 bits.  A shard is written under a name of the attempt and
-    then moved, so a task that runs again replaces its file.  The driver gets
-    one count for each input partition.
-    """
-    spark = docs.sparkSession
-    rows = sequences(docs, ranks_path, pattern, end_id, seq_tokens, text_col)
-    counts = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
-    total = sum(n for _, n in counts)
-    before = dict(zip([p for p, _ in counts], np.concatenate([[0], np.cumsum([n for _, n in counts])])[:-1].tolist()))
-    sent = spark.sparkContext.broadcast(before)
-    order, stride = Feistel(total, key), 2 * seq_tokens
-
-    def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        index = np.array([sent.value[p] for p in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy()
-        slot = order.slot(index) if len(index) else index
-        return pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard_seqs), *batch.columns], names=["slot", "shard", *batch.schema.names])
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
-        store.create_dir(root, recursive=True)
-        shard, out, temp = None, None, ""
+    def fragments(pos: int, data: np.ndarray, edges: np.ndarray) -> pa.RecordBatch:
+        seq, at = np.divmod(pos + edges[:-1], seq_tokens)
+        slot = order.slot(seq)
+        ids = [data[a:b].astype("<u2").tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        return pa.RecordBatch.from_arrays([
+            pa.array(slot), pa.array(slot // shard_seqs, pa.int32()), pa.array(at, pa.int32()), pa.array(ids, pa.binary())], names=["slot", "shard", "at", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = load_encoding(ranks_path, pattern).encode_ordinary
+        store = PartStore(lambda new: [array("H", encode(p)).tobytes() for p in new])
+        none = np.zeros(0, np.uint16)
+        current, pos, left = None, 0, none
+        for batch in batches:
+            runs, before = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(runs)) + 1).tolist(), len(runs)]
+            for lo, hi in zip(edges[:-1], edges[1:]) if len(runs) else ():
+                if runs[lo] != current:
+                    if len(left):
+                        yield fragments(pos, left, np.array([0, len(left)]))
+                    current, pos, left = runs[lo], int(before[lo]), none
+                for data in _ids(store, batch.column(2).slice(lo, hi - lo).to_pylist(), end_id):
+                    data = np.concatenate([left, data])
+                    cuts = np.arange(seq_tokens - pos % seq_tokens, len(data) + 1, seq_tokens)
+                    if len(cuts):
+                        yield fragments(pos, data, np.concatenate([[0], cuts]))
+                        data, pos = data[cuts[-1] :], pos + int(cuts[-1])
+                    left = data
+        if len(left):
+            yield fragments(pos, left, np.array([0, len(left)]))
+
+    return run
+
+
+def _store(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri)
+
+
+def _write(uri: str, order: Feistel, end_id: int, seq_tokens: int, shard_seqs: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Write sorted fragments as the records of their shards."""
+    stride = 2 * seq_tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(uri)
+        done: list[tuple] = []
+        shard, out, temp, nxt, slot, record = None, None, "", 0, None, bytearray()
 
         def close() -> None:
             if out is not None:
+                if nxt != min(order.n, (shard + 1) * shard_seqs):
+                    raise ValueError(f"shard {shard} ends before slot {nxt}: fragments are missing")
                 out.close()
-                final = f"{root}/shard-{shard:06d}.bin"
-                if store.get_file_info(final).type != pafs.FileType.NotFound:
-                    store.delete_file(final)
-                store.move(temp, final)
+                store.move(temp, f"{root}/shard-{shard:06d}.bin")
+
+        def flush() -> None:
+            nonlocal nxt
+            if slot is None:
+                return
+            n = len(record) // 2
+            if slot != nxt or n < seq_tokens and order.index(np.array([slot]))[0] != order.n - 1:
+                raise ValueError(f"slot {slot} is incomplete: fragments are missing")
+            record.extend(np.full(seq_tokens - n, end_id, "<u2").tobytes())
+            out.write(record)
+            done.append((slot, shard, slot % shard_seqs * stride, n, zlib.crc32(record)))
+            nxt += 1
+
+        def manifest() -> pa.RecordBatch:
+            slots, shards, offsets, n, crc = zip(*done) if done else ((),) * 5
+            seq = order.index(np.array(slots, np.int64)) if done else ()
+            columns = zip((slots, shards, offsets, seq, n, crc), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["slot", "shard", "offset", "seq", "n_tokens", "crc32"])
 
         for batch in batches:
-            slots, shards, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(5).to_pylist()
-            for s, x in zip(shards, ids):
-                if s != shard:
-                    close()
-                    shard, temp = s, f"{root}/.shard-{s:06d}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(temp)
-                out.write(x)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([(k % shard_seqs) * stride for k in slots], pa.int64()),
-                batch.column(2), batch.column(3), batch.column(4), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-            ], names=["slot", "shard", "offset", "part", "seq", "n_tokens", "crc32"])
+            for s, k, at, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != slot:
+                    flush()
+                    slot, record = s, bytearray()
+                    if k != shard:
+                        close()
+                        shard, nxt, temp = k, k * shard_seqs, f"{root}/.shard-{k:06d}-{uuid.uuid4().hex}"
+                        out = store.open_output_stream(temp)
+                if 2 * at != len(record):
+                    raise ValueError(f"slot {s}: a fragment of place {at} follows {len(record) // 2} tokens")
+                record += ids
+            yield manifest()
+            done.clear()
+        flush()
         close()
+        yield manifest()
+
+    return run
+
+
+def materialise(docs: DataFrame, path: str, ranks_path: str, pattern: str, end_id: int, key: int = 0,
+                seq_tokens: int = SEQ_TOKENS, shard_seqs: int = SHARD_SEQS, text_col: str = "text") -> DataFrame:
+    """Write the shards under ``path``; return a manifest row per sequence.
 
-    placed = arrow_map(rows, place, "slot long, shard long, part int, seq long, n_tokens int, ids binary")
-    n_shards = max(1, -(-total // shard_seqs))
-    ranged = placed.repartition(n_shards, "shard").sortWithinPartitions("slot")
-    return stage_table(ranged.mapInArrow(write, "slot long, shard long, offset long, part int, seq long, n_tokens int, crc32 long"), "manifest")
+    ``(slot, shard, offset, seq, n_tokens, crc32)``: the record of ``slot``
+    begins at byte ``offset`` of ``shard-<shard>.bin`` and holds sequence
+    ``seq`` of the token stream.  Every slot from 0 to the number of sequences
+    less 1 is used once.
+
+    The stream is the table's rows in the order of its files, each text ended
+    by ``end_id``; so it depends on the table and the key, and not on how the
+    table is split or on which machine reads what.  Rows that are not read from
+    files as they are get a table in the shared folder first.  The last
+    sequence is filled up with ``end_id``; ``n_tokens`` counts what is real.
+
+    Null texts are left out; an empty text is an end mark alone; repeated rows
+    are packed each; other columns are not read; an empty table writes nothing.
+    Ids must fit 16 bits.
+
+    Two passes tokenise: the first one gives every split its place in the
+    stream, the second cuts the splits where sequences begin and sends the
+    fragments straight to their shard, each shard one task.  Nothing else is
+    shuffled or staged.  Each split's place is broadcast: 16 bytes for each
+    split of ``spark.sql.files.maxPartitionBytes``, 13 MB for 100 TB in splits
+    of 128 MB.  Beyond ``MAX_SPLITS`` the table is rewritten to larger files.
+    A shard is written under a name of the attempt, then renamed, so a task
+    that runs again replaces the file by an equal one.
+    """
+    spark = docs.sparkSession
+    uri = qualified(spark, path)
+    table, staged = as_table(docs.select(text_col), "texts"), []
+    if hasattr(table, "staged_path"):
+        staged.append(table)
+    # Both passes must split alike, also if executors come or go in between.
+    cores = spark.conf.get("spark.sql.files.minPartitionNum", None) or str(spark.sparkContext.defaultParallelism)
+    with pinned(spark, spark__sql__files__minPartitionNum=cores):
+        while True:
+            at = table.metadataColumn("_metadata")
+            rows = table.select(at["file_path"].alias("path"), at["file_block_start"].alias("start"), F.col(text_col).cast("string").alias("text"))
+            counted = rows.mapInArrow(_count(ranks_path, pattern), "path string, start long, n long").groupBy("path", "start").agg(F.sum("n").alias("n"))
+            runs = stage_table(counted.withColumn("run", F.xxhash64("path", "start")), "splits")
+            staged.append(runs)
+            n_runs, n_names, total = runs.agg(F.count("*"), F.count_distinct("run"), F.coalesce(F.sum("n"), F.lit(0))).first()
+            if n_names < n_runs:
+                raise ValueError("two splits share a hash")
+            if n_runs <= MAX_SPLITS or any(table is x for x in staged):
+                break
+            staged.append(table := stage_table(table.coalesce(MAX_SPLITS // 8), "texts", compression="zstd"))
+        if not total:
+            return spark.createDataFrame([], _MANIFEST)
+        n_seqs = -(-total // seq_tokens)
+        n_shards, order = -(-n_seqs // shard_seqs), Feistel(n_seqs, key)
+        before = F.sum("n").over(Window.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1))
+        places = runs.select("run", F.coalesce(before, F.lit(0)).alias("before"))
+        keyed = rows.select(F.xxhash64("path", "start").alias("run"), "text").join(F.broadcast(places), "run").select("run", "before", "text")
+        cut = keyed.mapInArrow(_cut(order, ranks_path, pattern, end_id, seq_tokens, shard_seqs), _FRAGMENT)
+        store, root = _store(uri)
+        store.create_dir(root, recursive=True)
+        dealt = cut.repartitionById(n_shards, "shard").sortWithinPartitions("slot", "at")
+        manifest = stage_table(dealt.mapInArrow(_write(uri, order, end_id, seq_tokens, shard_seqs), _MANIFEST), "manifest")
+    for f in store.get_file_info(pafs.FileSelector(root)):
+        if f.base_name.startswith(".shard-"):
+            store.delete_file(f.path)
+    unstage(*staged)
+    return manifest
 
 
 class ShardReader:
     """Sequential, resumable reads of materialised sequences by slot."""
 
     def __init__(self, path: str, n_slots: int, seq_tokens: int = SEQ_TOKENS, shard_seqs: int = SHARD_SEQS):
-        self.store, self.root = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+        self.store, self.root = _store(path) if ":/" in path else (pafs.LocalFileSystem(), path)
         self.n_slots, self.stride, self.shard_seqs = n_slots, 2 * seq_tokens, shard_seqs
 
     def read(self, start: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-        """``(slot, ids)`` from ``start`` on; pass the next slot to resume."""
+        """``(slot, ids)`` from ``start`` on; pass the next slot to resume.
+
+        A shard that ends before its last slot raises EOFError."""
         slot = start
         while slot < self.n_slots:
-            with self.store.open_input_file(f"{self.root}/shard-{slot // self.shard_seqs:06d}.bin") as f:
+            shard, end = slot // self.shard_seqs, min(self.n_slots, (slot // self.shard_seqs + 1) * self.shard_seqs)
+            with self.store.open_input_file(f"{self.root}/shard-{shard:06d}.bin") as f:
                 f.seek(slot % self.shard_seqs * self.stride)
-                while data := f.read(self.stride):
+                while slot < end:
+                    data = f.read(self.stride)
+                    if len(data) < self.stride:
+                        raise EOFError(f"shard {shard} ends before slot {slot}")
                     yield slot, np.frombuffer(data, "<u2")
                     slot += 1
 
