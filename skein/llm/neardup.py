@@ -4,15 +4,19 @@ Documents with the same shingle set form a class; classes are what is joined.
 Each of several independent trees branches the classes by minwise tokens: a
 node's children are named by a chosen coordinate of the MinHash signature and
 its value.  Nodes of up to ``NODE`` classes are compared exhaustively; larger
-ones branch again, by two fresh coordinates, and what is still large at the
-last level is compared exhaustively in blocks.  A pair of similarity s gets
+ones branch again, by two fresh coordinates.  A node that is still large at the
+last level is mostly one big group, which comparing takes linear time for; only
+what one task can't hold is compared in blocks.  A pair of similarity s gets
 through the root of a tree with probability s and through each further level
 with 1-(1-s)^2, so ``TREES`` trees find a pair of similarity 0.75 with
-probability above 1-1e-7 at the roots and 1-1e-4 down to the last level.
+probability above 1-1e-7 at the roots and 1-1e-5 down to the last level.
 
 A node proposes groups: classes whose signatures agree, each around its
 smallest id, the hub.  Groups of one hub are united over all trees, their texts
-are fetched once a hub, and every link is confirmed on full shingle sets.
+are fetched once a hub, and links are confirmed on full shingle sets.  A group
+too large for one task goes in blocks, the hub in each; members that are in the
+hub's component by then need no further comparison with one another, so only
+the others meet all blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_map, components, mix, stage_table, utf8, window_hashes, word_hashes
+from skein.llm.common import address, arrow_map, as_table, components, mix, stage_table, unstage, utf8, window_hashes, word_hashes
 
 SHINGLE = 5
 #: Links have 100 * intersection >= LINK * union.
@@ -34,14 +38,14 @@ LINK = 75
 #: Coordinates of a signature, one byte each, and how many must agree for a
 #: pair to be checked on full sets: five standard deviations below 0.75.
 COORDS, AGREE = 64, 30
-TREES, LEVELS = 12, 5
-#: Classes of a node that is compared exhaustively.
-NODE = 16_384
+TREES, LEVELS = 12, 3
+#: Classes of a node that does not branch, and of one that a task compares.
+NODE, LARGEST = 64, 16_384
+#: Times that groups are merged into groups with smaller hubs.
+JUMPS = 2
 #: Shingles of a group that is confirmed at once; larger groups are confirmed
-#: as all pairs of blocks of half as many.
+#: in blocks of half as many.
 GROUP_SHINGLES = 3_000_000
-#: Members up to which all pairs of a group are intersected together.
-DENSE = 384
 
 _A = np.array([xxhash.xxh3_64_intdigest(b"coordinate", seed=k) | 1 for k in range(COORDS)], np.uint64)
 
@@ -151,69 +155,65 @@ def confirm(group: dict[str, list]) -> list[tuple[bytes, bytes]]:
             if xxhash.xxh3_128_digest(s.tobytes()) == name:
                 sets[name] = s
     ids = sorted(sets)
-    if len(ids) < 2:
-        return []
-    found = [sets[x] for x in ids]
-    return _stars(ids, _label_dense(found) if len(ids) <= DENSE else _label_sparse(found))
+    return _stars(ids, label_linked([sets[x] for x in ids])) if len(ids) > 1 else []
 
 
 def _linked(both, a, b):  # noqa: ANN001, ANN202
     return 100 * both >= LINK * (a + b - both)
 
 
-def _label_dense(sets: list[np.ndarray]) -> np.ndarray:
-    """Components by the intersections of all pairs."""
+class _Postings:
+    """Which of some sets hold each shingle."""
+
+    def __init__(self, sets: list[np.ndarray], members: np.ndarray):
+        self.members = members
+        keys = np.concatenate([sets[k] for k in members.tolist()])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.owner = np.repeat(np.arange(len(members)), [len(sets[k]) for k in members.tolist()])[order]
+
+    def shared(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sets that share shingles with ``s``, and how many."""
+        lo, hi = np.searchsorted(self.keys, s), np.searchsorted(self.keys, s, side="right")
+        size = hi - lo
+        at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        owner = self.owner[at]
+        if len(owner) * 8 < len(self.members):
+            some, both = np.unique(owner, return_counts=True)
+        else:
+            both = np.bincount(owner, minlength=len(self.members))
+            some = np.flatnonzero(both)
+            both = both[some]
+        return self.members[some], both
+
+
+def label_linked(sets: list[np.ndarray]) -> np.ndarray:
+    """Component of each set, by the first set in it.
+
+    Every set is intersected, through an index of shingles, with those that are
+    in no component yet; a group of near copies takes one pass."""
     size = np.array([len(s) for s in sets], np.int64)
     if len(sets) == 2:
         both = np.intersect1d(sets[0], sets[1], assume_unique=True).size
         return np.array([0, 0 if _linked(both, size[0], size[1]) else 1])
-    linked = _linked(_intersections(sets), size[:, None], size[None, :])
-    label = np.full(len(sets), -1)
+    label, left = np.full(len(sets), -1), len(sets)
+    index = _Postings(sets, np.arange(len(sets)))
     for i in range(len(sets)):
-        if label[i] < 0:
-            new = np.zeros(len(sets), bool)
-            new[i] = True
-            while new.any():
-                label[new] = i
-                new = linked[new].any(axis=0) & (label < 0)
-    return label
-
-
-def _label_sparse(sets: list[np.ndarray]) -> np.ndarray:
-    """Components, without checking pairs that are in one already."""
-    size = np.array([len(s) for s in sets], np.int64)
-    sig = np.frombuffer(b"".join(signature(s)[0] for s in sets), np.uint8).reshape(len(sets), COORDS)
-    label = np.arange(len(sets))
-    for i in range(len(sets) - 1):
-        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        if not len(other):
+        if label[i] >= 0:
             continue
-        for j in other[np.count_nonzero(sig[other] == sig[i], axis=1) >= AGREE].tolist():
-            if label[j] != label[i] and _linked(np.intersect1d(sets[i], sets[j], assume_unique=True).size, size[i], size[j]):
-                label[label == label[j]] = label[i]
+        label[i], queue, left = i, [i], left - 1
+        while queue and left:
+            x = queue.pop()
+            others, both = index.shared(sets[x])
+            new = others[(label[others] < 0) & _linked(both, size[x], size[others])]
+            label[new] = i
+            queue += new.tolist()
+            left -= len(new)
+            if left and 2 * left < len(index.members):
+                index = _Postings(sets, np.flatnonzero(label < 0))
     return label
 
 
-def _intersections(sets: list[np.ndarray], block: int = 4096) -> np.ndarray:
-    """Sizes of all pairs' intersections: products of 0/1 rows over the shingles
-    that two sets share, a block of shingles at a time."""
-    shingles, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    shared = count[column] > 1
-    number = np.cumsum(count > 1) - 1
-    row, column = row[shared], number[column[shared]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((len(sets), len(sets)), np.float64)
-    edges = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else 0) + block + 1, block))
-    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:])):
-        if hi > lo:
-            x = np.zeros((len(sets), block), np.float32)
-            x[row[lo:hi], column[lo:hi] - k * block] = 1
-            both += x @ x.T
-    return both.astype(np.int64)
-
-
 _NODE_ROW = "key long, id binary, sig binary, n long"
 
 
@@ -239,15 +239,16 @@ def _children(level: int) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return branch
 
 
-def nodes(classes: DataFrame, node: int = NODE, levels: int = LEVELS) -> list[DataFrame]:
-    """Rows ``(key, id, sig, n)`` of all nodes small enough to be compared.
+def nodes(classes: DataFrame, node: int = NODE, largest: int = LARGEST, levels: int = LEVELS) -> list[DataFrame]:
+    """Rows ``(key, id, sig, n)`` of all nodes that are compared, level by level.
 
     Sizes are counted before anything is brought together, so a node that is
     too large never meets in one task.
     """
     found, rows = [], arrow_map(classes.select("id", "sig", "roots", "n"), _children(0), _NODE_ROW)
     for level in range(1, levels + 1):
-        large = stage_table(rows.groupBy("key").count().where(F.col("count") > node), "large-nodes")
+        most = node if level < levels else largest
+        large = stage_table(rows.groupBy("key").count().where(F.col("count") > most), "large-nodes")
         if not large.take(1):
             return [*found, rows]
         found.append(rows.join(large, "key", "left_anti"))
@@ -255,26 +256,69 @@ def nodes(classes: DataFrame, node: int = NODE, levels: int = LEVELS) -> list[Da
             rest = rows.join(large, "key", "left_semi")
             rows = stage_table(arrow_map(rest, _children(level), _NODE_ROW).dropDuplicates(["key", "id"]), "branches")
     # Still large: all pairs of blocks of half a node.
-    return [*found, _block_pairs(rows.join(large, "key"), ["key"], F.ceil(F.col("count") * 2 / node)).select(
-        F.xxhash64("key", "low", "high").alias("key"), "id", "sig", "n")]
-
-
-def _block_pairs(rows: DataFrame, key: list[str], blocks) -> DataFrame:  # noqa: ANN001
-    """Each row once for every pair of blocks, ``low`` and ``high``, that its own
-    block is in; one block makes one pair."""
-    mine = rows.withColumn("blocks", blocks.cast("int")).withColumn("mine", F.pmod(F.xxhash64("id", *key), F.col("blocks")).cast("int"))
-    spread = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return spread.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node: int = NODE, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept, text_hash)`` for every row.
+    mine = rows.join(large, "key").withColumn("blocks", F.ceil(F.col("count") * 2 / largest).cast("int"))
+    mine = mine.withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    pairs = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+    return [*found, pairs.select(key.alias("key"), "id", "sig", "n")]
+
+
+def merged(groups: DataFrame) -> DataFrame:
+    """Groups (id, hub, n) whose hub is a member of groups with smaller hubs, as
+    part of the smallest of those.  Leaves of one big group have hubs of their
+    own; followed ``JUMPS`` times, they are one again and so are its texts."""
+    for _ in range(JUMPS):
+        hubs = groups.select("hub").distinct()
+        to = groups.join(hubs.select(F.col("hub").alias("id")), "id", "left_semi").groupBy("id").agg(F.min("hub").alias("to"))
+        to = stage_table(to.where("to != id").select(F.col("id").alias("hub"), "to"), "smaller-hubs")
+        if not to.take(1):
+            return groups
+        before, groups = groups, stage_table(groups.join(to, "hub", "left").select("id", F.coalesce("to", "hub").alias("hub"), "n").distinct(), "groups")
+        unstage(before, to)
+    return groups
+
+
+def confirmed(groups: DataFrame, texts: DataFrame, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """Links ``(a, b)`` of ``groups`` (hub, id, n) by ``texts`` (id, text).
+
+    Each text is copied once for a group, but for members of a large group
+    that are not linked to its hub's component: they meet all its blocks.
+    """
+    sizes = groups.groupBy("hub").agg(F.sum("n").alias("shingles")).where(F.col("shingles") > group_shingles)
+    large = stage_table(sizes.select("hub", F.ceil(F.col("shingles") * 2 / group_shingles).cast("int").alias("blocks")), "large-groups")
+    link = {"a": pa.binary(), "b": pa.binary()}
+    if not large.take(1):
+        return _by_group(groups.select(F.xxhash64("hub").alias("grp"), "id").join(texts, "id").select("grp", "id", "text"), confirm, link)
+    placed = groups.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", "hub"), F.col("blocks")).cast("int"))
+    hubs = placed.where("id = hub and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    once = placed.unionByName(hubs).select(F.xxhash64("hub", "block").alias("grp"), "id").distinct()
+    links = stage_table(_by_group(once.join(texts, "id").select("grp", "id", "text"), confirm, link), "links")
+    parts = placed.where("blocks > 1").join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    parts = stage_table(parts.select("hub", "id", "n", "block", "blocks", "component"), "large-members")
+    of_hub = parts.where("id = hub").select("hub", F.col("component").alias("hubs"))
+    others = stage_table(parts.join(of_hub, "hub").where("component != hubs").select("hub", "id", "n", "blocks"), "unlinked")
+    some = others.groupBy("hub").agg(F.ceil(F.sum("n") * 2 / group_shingles).cast("int").alias("lots"))
+    unlinked = others.join(some, "hub").withColumn("lot", F.pmod(F.xxhash64("id", "hub", F.lit("lot")), F.col("lots")).cast("int"))
+    unlinked = unlinked.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", "lot", "block", "id")
+    every = parts.join(some, "hub").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select("hub", "lot", "block", "id")
+    met = unlinked.unionByName(every).select(F.xxhash64("hub", "lot", "block").alias("grp"), "id").distinct()
+    return links.unionByName(_by_group(met.join(texts, "id").select("grp", "id", "text"), confirm, link))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node: int = NODE, largest: int = LARGEST,
+                    group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept, component, file, place)`` for
+    every row; ``file`` and ``place`` are its address (see ``common.address``)
+    in ``docs``, or in a staged copy if ``docs`` is not a table.
 
     Null texts and texts without words have no shingles, are linked with
-    nothing and are kept.  Fewer than five words make one shingle.  The
-    component's id is the smallest doc_id in it; null ids are never smallest,
-    and rows whose component has no other are kept.  Repeated rows are in one
-    component and those with its id are all kept.  Other columns are not read.
+    nothing, are kept, and have a null ``component``, which names the group
+    otherwise.  Fewer than five words make one shingle.  ``component_id`` is
+    the smallest doc_id in the group; null ids are never smallest, and rows
+    whose group has no other are kept.  Repeated rows are in one group and
+    those with its id are all kept.  Other columns are not read, whatever their
+    names.
     """
 
     def profile(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -285,35 +329,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sigs.append(signature(s) if len(s) else (None, None))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *(pa.array([x[k] for x in sigs], pa.binary()) for k in (0, 1))],
-            names=["doc_id", "text_hash", "n_shingles", "id", "sig", "roots"])
+            [*batch.columns[1:], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *(pa.array([x[k] for x in sigs], pa.binary()) for k in (0, 1))],
+            names=["doc_id", "file", "place", "n_shingles", "id", "sig", "roots"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stage_table(
-        arrow_map(texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), profile,
-                  "doc_id long, text_hash long, n_shingles long, id binary, sig binary, roots binary"), "profiles")
+    table = as_table(docs)
+    texts = table.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *address(table))
+    rows = stage_table(arrow_map(texts, profile, "doc_id long, file long, place long, n_shingles long, id binary, sig binary, roots binary"), "profiles")
     # Rows of one class are alike but for where their text is.
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash", "sig", "roots", "n_shingles")).alias("row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "file", "place", "sig", "roots", "n_shingles")).alias("row")
     classes = stage_table(rows.where("id is not null").groupBy("id").agg(first).select(
-        "id", "row.doc_id", "row.text_hash", "row.sig", "row.roots", F.col("row.n_shingles").alias("n")), "classes")
+        "id", "row.doc_id", "row.file", "row.place", "row.sig", "row.roots", F.col("row.n_shingles").alias("n")), "classes")
 
     member = {"id": pa.binary(), "hub": pa.binary(), "n": pa.int64()}
-    found = [_by_group(x, propose, member) for x in nodes(classes, node)]
-    groups = stage_table(reduce(DataFrame.unionByName, found).distinct(), "groups")
-    wanted = groups.select("id").distinct().join(classes.select("id", F.col("doc_id").alias("at_doc"), "text_hash"), "id")
+    found = [_by_group(x, propose, member) for x in nodes(classes, node, largest)]
+    groups = merged(stage_table(reduce(DataFrame.unionByName, found).distinct(), "groups"))
+    wanted = groups.select("id").distinct().join(classes.select("id", "file", "place"), "id")
     candidates = stage_table(
-        texts.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).join(wanted, "text_hash")
-        .where(F.col("doc_id").eqNullSafe(F.col("at_doc"))).select("id", F.col("text").cast("binary").alias("text")), "candidates")
-    sizes = groups.groupBy("hub").agg(F.sum("n").alias("shingles"))
-    blocks = F.when(F.col("shingles") <= group_shingles, 1).otherwise(F.ceil(F.col("shingles") * 2 / group_shingles))
-    placed = _block_pairs(groups.join(sizes, "hub"), ["hub"], blocks)
-    keyed = placed.select(F.xxhash64("hub", "low", "high").alias("grp"), "id").join(candidates, "id").select("grp", "id", "text")
-    links = _by_group(keyed, confirm, {"a": pa.binary(), "b": pa.binary()})
-
-    linked = components(links)
+        texts.select("file", "place", "text").join(wanted, ["file", "place"]).select("id", F.col("text").cast("binary").alias("text")), "candidates")
+    linked = components(confirmed(groups, candidates, group_shingles))
     labelled = classes.select("id", "doc_id").join(linked, "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = stage_table(labelled.join(least, "component").select("id", "component_id"), "components")
-    component = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = rows.select("doc_id", "n_shingles", "text_hash", "id").join(named, "id", "left").select("doc_id", "n_shingles", component.alias("component_id"), "text_hash")
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+    named = stage_table(labelled.join(least, "component").select("id", "component", "component_id"), "components")
+    unstage(classes, groups, candidates)
+    component_id = F.when(F.col("id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = rows.select("doc_id", "n_shingles", "id", "file", "place").join(named, "id", "left").withColumn("component_id", component_id)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component", "file", "place")
