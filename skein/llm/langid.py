@@ -10,6 +10,7 @@ filter as full as theirs is bound to give.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,27 +25,29 @@ N = 4
 #: Cells of the filter and hashes of an n-gram; the size is fixed.
 CELLS = 1 << 18
 HASHES = 3
-#: Labelled texts of one language used for learning, about, and their bytes.
-#: More are thinned by id hash.  Prediction always reads whole texts.
+#: Labelled texts of one language used for learning, about; more are thinned by
+#: id hash.  Whole texts are read, in learning as in prediction.
 TEXTS_PER_LANG = 800
-MAX_LEARN_BYTES = 4_000
+#: N-grams of a text that are looked up at a time.
+CHUNK = 1 << 20
 #: An n-gram is a language's if at least this share of its texts has it.
 MIN_SHARE = 0.01
-MAX_LANGS = 64
 UNKNOWN = "und"
 
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)
 
 
-def grams(data: bytes) -> np.ndarray:
+def gram_chunks(data: bytes) -> Iterator[np.ndarray]:
     """The text's ``N``-byte n-grams, lower-cased (A-Z), edges padded."""
-    b = np.frombuffer(b"  " + data.lower() + b"  ", np.uint8).astype(np.uint32)
-    n = len(b) - N + 1
-    out = np.zeros(n, np.uint32)
-    for i in range(N):
-        out = out << np.uint32(8) | b[i : i + n]
-    return out
+    padded = np.frombuffer(b"  " + data.lower() + b"  ", np.uint8)
+    for lo in range(0, len(padded) - N + 1, CHUNK):
+        b = padded[lo : lo + CHUNK + N - 1].astype(np.uint32)
+        n = len(b) - N + 1
+        out = np.zeros(n, np.uint32)
+        for i in range(N):
+            out = out << np.uint32(8) | b[i : i + n]
+        yield out
 
 
 def has_letter(data: bytes | None) -> bool:
@@ -62,7 +65,8 @@ def cells_of(g: np.ndarray, k: int) -> np.ndarray:
 
 @dataclass
 class LanguageFilter:
-    """``cells``: a language mask for each cell; ``false_rate`` by language."""
+    """``cells``: a word of the language mask for each cell, one row for every
+    64 languages (8 bits are enough for up to 8); ``false_rate`` by language."""
 
     langs: list[str]
     cells: np.ndarray
@@ -70,24 +74,30 @@ class LanguageFilter:
 
     def holders(self, g: np.ndarray) -> np.ndarray:
         """Mask of the languages that hold each n-gram."""
-        mask = self.cells[cells_of(g, 0)]
+        mask = self.cells[:, cells_of(g, 0)]
         for k in range(1, HASHES):
-            mask = mask & self.cells[cells_of(g, k)]
+            mask &= self.cells[:, cells_of(g, k)]
         return mask
 
+    def held(self, g: np.ndarray) -> np.ndarray:
+        """How many of the n-grams each language holds."""
+        mask = self.holders(g)
+        if self.cells.dtype == np.uint8:
+            by_mask = np.bincount(mask[0], minlength=256)
+            return np.array([by_mask[(np.arange(256) >> k) & 1 == 1].sum() for k in range(len(self.langs))])
+        bits = [np.count_nonzero(w >> np.uint64(k) & np.uint64(1)) for w in mask for k in range(64)]
+        return np.array(bits[: len(self.langs)])
+
     def predict(self, data: bytes | None) -> tuple[str, float]:
         if not self.langs or not has_letter(data):
             return UNKNOWN, 0.0
-        g = grams(data)
-        mask = self.holders(g)
-        if self.cells.dtype == np.uint8:
-            by_mask = np.bincount(mask, minlength=256)
-            counts = np.array([by_mask[(np.arange(256) >> k) & 1 == 1].sum() for k in range(len(self.langs))])
-        else:
-            counts = np.array([np.count_nonzero(mask >> np.uint64(k) & np.uint64(1)) for k in range(len(self.langs))])
-        fair = np.maximum(counts - len(g) * self.false_rate, 0) / (1 - self.false_rate)
+        counts, n = np.zeros(len(self.langs), np.int64), 0
+        for g in gram_chunks(data):
+            counts += self.held(g)
+            n += len(g)
+        fair = np.maximum(counts - n * self.false_rate, 0) / (1 - self.false_rate)
         best = int(fair.argmax())
-        return self.langs[best], float(min(fair[best] / len(g), 1.0))
+        return self.langs[best], float(min(fair[best] / n, 1.0))
 
 
 def held_out(id_col: str) -> F.col:
@@ -99,29 +109,29 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           texts_per_lang: int = TEXTS_PER_LANG) -> LanguageFilter:
     """Learn from rows that are not held out and have an id, text and lang.
 
-    About ``texts_per_lang`` texts of each language are read, thinned by a hash
-    of the id, so the work after the count is bounded.  N-gram counts are
-    summed within batches, then by Spark; the driver gets one row for each
-    frequent n-gram of a language.  More than 64 languages raise ValueError.
+    About ``texts_per_lang`` texts of each language are read whole, thinned by
+    a hash of the id, so the work after the count is bounded.  N-gram counts
+    are summed within batches, then by Spark, which also sets the filter's
+    bits; the driver gets a row for each word of a cell that is not empty:
+    ``CELLS`` of them for every 64 languages, however much was learnt.
     """
     usable = docs.where(~held_out(id_col)).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"),
         F.col(id_col).cast("string").alias("id"),
     ).where("lang is not null and text is not null and id is not null")
-    totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()}
-    if len(totals) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    totals = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(totals, key=lambda x: (-totals[x], x))
     kind = np.uint8 if len(langs) <= 8 else np.uint64
-    cells = np.zeros(CELLS, kind)
+    words = max(1, -(-len(langs) // 64))
+    cells = np.zeros((words, CELLS), kind)
     if not langs:
         return LanguageFilter([], cells, np.zeros(0))
-    code = {x: k for k, x in enumerate(langs)}
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         by_lang: dict[int, list[np.ndarray]] = {}
-        for lang, data in zip(batch.column(0).to_pylist(), utf8(batch, "text")):
-            by_lang.setdefault(code[lang], []).append(np.unique(grams(data)))
+        for k, data in zip(batch.column(0).to_pylist(), utf8(batch, "text")):
+            each = [np.unique(g) for g in gram_chunks(data)]
+            by_lang.setdefault(k, []).append(each[0] if len(each) == 1 else np.unique(np.concatenate(each)))
         out = []
         for k, each in by_lang.items():
             g, n = np.unique(np.concatenate(each), return_counts=True)
@@ -129,20 +139,25 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         k, g, n = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
         return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (k, g, n)], names=["k", "g", "n"])
 
-    most = F.create_map([F.lit(x) for lang in langs for x in (lang, min(1.0, texts_per_lang / totals[lang]))])
+    def bits(batch: pa.RecordBatch) -> pa.RecordBatch:
+        k, g = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.uint32)
+        cell = np.concatenate([cells_of(g, i) for i in range(HASHES)]).astype(np.int64)
+        bit = (np.uint64(1) << (k % 64).astype(np.uint64)).view(np.int64)
+        word, bit = np.tile(k // 64, HASHES), np.tile(bit, HASHES)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(cell), pa.array(bit)], names=["word", "cell", "bits"])
+
+    def bounds(lang: str) -> tuple[float, float]:
+        used = min(totals[lang], texts_per_lang)
+        return min(1.0, texts_per_lang / totals[lang]), max(2.0 if used > 20 else 1.0, MIN_SHARE * used)
+
+    known = F.broadcast(docs.sparkSession.createDataFrame([(x, k, *bounds(x)) for k, x in enumerate(langs)], "lang string, k long, most double, least double"))
     share = F.pmod(F.xxhash64("id", F.lit("learn")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = usable.where(share < most[F.col("lang")]).select("lang", F.substring("text", 1, MAX_LEARN_BYTES).alias("text"))
-    used = {x: min(totals[x], texts_per_lang) for x in langs}
-    least = F.create_map([F.lit(x) for lang in langs for x in (code[lang], max(2.0 if used[lang] > 20 else 1.0, MIN_SHARE * used[lang]))])
-    rows = (
-        arrow_map(picked, count, "k long, g long, n long").groupBy("k", "g").agg(F.sum("n").alias("n"))
-        .where(F.col("n") >= least[F.col("k").cast("int")]).select("k", "g").toPandas()
-    )
-    for k in range(len(langs)):
-        g = rows["g"][rows["k"] == k].to_numpy().astype(np.uint32)
-        for i in range(HASHES):
-            np.bitwise_or.at(cells, cells_of(g, i), kind(1 << k))
-    full = np.array([np.count_nonzero(cells >> kind(k) & kind(1)) / CELLS for k in range(len(langs))])
+    picked = usable.join(known, "lang").where(share < F.col("most")).select("k", "text")
+    frequent = arrow_map(picked, count, "k long, g long, n long").groupBy("k", "g").agg(F.sum("n").alias("n"))
+    frequent = frequent.join(known, "k").where("n >= least").select("k", "g")
+    rows = arrow_map(frequent, bits, "word long, cell long, bits long").groupBy("word", "cell").agg(F.bit_or("bits").alias("bits")).toPandas()
+    cells[rows["word"].to_numpy(np.int64), rows["cell"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(kind)
+    full = np.array([np.count_nonzero(cells[k // 64] >> kind(k % 64) & kind(1)) / CELLS for k in range(len(langs))])
     return LanguageFilter(langs, cells, full**HASHES)
 
 
@@ -151,8 +166,8 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageFilter, id_col
 
     Only the text is read for a prediction.  Null texts and texts without a
     letter are ``und`` with score 0; ties go to the language with more learning
-    texts, then by name; repeated rows give a row each.  The filter is
-    broadcast: ``CELLS`` masks, 2 MB at most.
+    texts, then by name; repeated rows give a row each; other columns are not
+    read.  The filter is broadcast: 2 MB for every 64 languages.
     """
     sent = spark.sparkContext.broadcast(model)
 
@@ -172,8 +187,10 @@ def identify(spark: SparkSession, docs: DataFrame, model: LanguageFilter, id_col
 def keep_identified(spark: SparkSession, docs: DataFrame, model: LanguageFilter, min_score: float = 0.2, text_col: str = "text") -> DataFrame:
     """Rows, with all their columns, whose language is recognised.
 
-    Rejected: ``und``, and scores below ``min_score``, the share of n-grams that
-    the best language holds beyond chance.
+    Rejected: ``und`` (null texts and texts without a letter, too), and scores
+    below ``min_score``, the share of n-grams that the best language holds
+    beyond chance.  Rows are judged one by one, repeated ones alike; columns of
+    any name are passed through, as they are.
     """
     sent = spark.sparkContext.broadcast(model)
 
