@@ -1,17 +1,19 @@
 """Quality rules: base rules and a calibrated n-gram logistic regression.
 
-The model sees hashed word 1- and 2-grams and hashed byte 3- and 5-grams, each
-block as relative frequencies.  It is fitted on labelled rows, calibrated on
+The model sees hashed word 1- and 2-grams and hashed character 3- and 5-grams,
+each block as relative frequencies.  It is fitted on labelled rows, calibrated on
 labelled rows it was not fitted on, and scored in Arrow batches.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,17 +64,24 @@ def repeat_words(hashes: np.ndarray, k: int = _WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(edge)))
 
 
+def code_points(data: bytes) -> np.ndarray:
+    """The characters of a UTF-8 text as numbers."""
+    if data.isascii():
+        return np.frombuffer(data, np.uint8).astype(np.uint32)
+    return np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def feature_ids(data: bytes, hashes: np.ndarray) -> list[np.ndarray]:
     """Bucket of every n-gram of the text, one array for each block."""
     shift = np.uint64(64 - (BUCKETS.bit_length() - 1))
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
+    c = code_points(data)
     out = [(mix(hashes) >> shift).astype(np.int32), (window_hashes(hashes, 2) >> shift).astype(np.int32)]
     top = np.uint32(32 - (BUCKETS.bit_length() - 1))
     for k in (3, 5):
-        n = max(len(b) - k + 1, 0)
+        n = max(len(c) - k + 1, 0)
         h = np.zeros(n, np.uint32)
         for i in range(k):
-            h = h * np.uint32(0x01000193) ^ b[i : i + n]
+            h = h * np.uint32(0x01000193) ^ c[i : i + n]
         out.append(((h * np.uint32(0x9E3779B1)) >> top).astype(np.int32))
     return out
 
@@ -103,26 +112,35 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     first) before their texts are looked up, so what is broadcast to the
     documents is bounded.  Executors read the whole texts, as scoring does; a
     text sends its buckets and their counts, ``BLOCKS * BUCKETS`` at most,
-    however long it is.  Null texts and labels are left out; an id that several rows have brings each of their texts.  A fifth
+    however long it is.  Null texts and labels are left out; repeated labels
+    count once.  Of several rows with a labelled id the text with the smallest
+    hash is learnt from, so an id that many rows have sends one text.  A fifth
     of the rows, chosen by id hash, only calibrates; probabilities are put back
     to the labels' true shares.  With one class only, or too few rows, the
     model gives every text the smoothed base rate.
     """
-    def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sizes, packed = zip(*map(_pack, utf8(batch, "text"))) if batch.num_rows else ((), ())
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())],
-            names=["rank", "label", "size", "packed"],
-        )
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple, tuple[int, bytes]] = {}
+        for batch in batches:
+            for key, data in zip(zip(*(batch.column(k).to_pylist() for k in range(3))), utf8(batch, "text")):
+                h = xxhash.xxh3_64_intdigest(data) >> 1
+                if key not in least or h < least[key][0]:
+                    least[key] = h, data
+        found = [(*key, h, *_pack(data)) for key, (h, data) in least.items()]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        columns = zip(*found) if found else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["rank", "id", "label", "h", "size", "packed"])
 
     keyed = labels.select(
         F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"),
-        F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("rank")).where("label in (0, 1) and id is not null")
+        F.xxhash64(F.col(id_col).cast("string"), F.lit("fit")).alias("rank")).where("label in (0, 1) and id is not null").distinct()
     picked = [keyed.where(F.col("label") == k).orderBy("rank", "id").limit(max_labelled) for k in (0, 1)]
     total = {r["label"]: r["n"] for r in keyed.groupBy("label").agg(F.count("*").alias("n")).collect()}
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.where("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("rank", "label", "text")
-    got = sorted(map(tuple, arrow_map(rows, features, "rank long, label int, size int, packed binary").collect()))
+    rows = texts.where("text is not null").join(F.broadcast(picked[0].unionByName(picked[1])), "id").select("rank", "id", "label", "text")
+    each = rows.mapInArrow(features, "rank long, id long, label int, h long, size int, packed binary")
+    least = each.groupBy("rank", "id", "label").agg(F.min(F.struct("h", "size", "packed")).alias("x")).select("rank", "label", "x.size", "x.packed")
+    got = sorted(map(tuple, least.collect()))
     y = np.array([r[1] for r in got], np.float64)
     held = np.array([r[0] % 5 == 0 for r in got], bool)
     weights = np.zeros((BLOCKS, BUCKETS))
