@@ -22,8 +22,10 @@ from skein.llm.common import stage_table
 
 LG_CELLS = 16
 VNODES = 128
-#: Cells with more rows than this and eight times the mean are ranked in parts.
-HOT_ROWS, HOT_PARTS = 100_000, 16
+#: Bits of the hash that orders a cell's rows.
+ORDER_BITS = 31
+#: Distinct rows that are ranked together, and copies that are dealt together.
+PART_ROWS, COPY_ROWS = 1 << 19, 1 << 14
 
 
 def owners(n_shards: int, vnodes: int = VNODES) -> np.ndarray:
@@ -82,56 +84,60 @@ def place(counts: np.ndarray, n_shards: int, vnodes: int = VNODES) -> list[Run]:
     return out
 
 
-def shard(docs: DataFrame, n_shards: int = 8, vnodes: int = VNODES, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 8, vnodes: int = VNODES, id_col: str = "doc_id", text_col: str = "text",
+          part_rows: int = PART_ROWS, copy_rows: int = COPY_ROWS) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard)`` per row.
 
     The law held is ``rows``: shard counts are at most one apart.  Slots are
     gapless from 0 in each shard.  A null text has size 1 and crc 0; a null id
-    has a place on the ring of its own.  Repeated rows are placed one by one;
-    a cell that one id fills is ranked in parts, so no task gets it whole.
-    Ties in ring order go by id, size and crc.  Other columns are not read.
-    An empty table gives no rows.
-
-    The driver gets one count for each cell or part of a hot cell: 2 ** 16
-    cells, and at most 2 ** 13 hot ones in 16 parts.  The runs that it sends
-    back have the same bound, which is why they are broadcast.
+    has a place on the ring of its own.  Rows that are alike in id, size and
+    crc are counted together and take neighbouring slots.  Within a cell, rows
+    are in the order of a hash of those three; so the placement depends on the
+    rows only.  Other columns are not read.  An empty table gives no rows.
+
+    A cell's order is cut at fixed shares of the hash range into parts of about
+    ``part_rows`` rows, which are ranked apart and put together by their
+    counts; a cell that one id fills is many parts, and copies of one row are
+    spread after they were counted.  The driver gets one count for each of
+    2 ** 16 cells; the runs that it sends back have the same bound, which is
+    why they are broadcast.
     """
     spark, cells = docs.sparkSession, 1 << LG_CELLS
     text = F.col(text_col).cast("string")
-    rows = stage_table(docs.select(
+    rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        F.xxhash64(F.col(id_col).cast("long"), F.lit("ring")).alias("position"),
-        F.floor(F.rand() * HOT_PARTS).cast("int").alias("part"),
-    ), "sizes")
-    cell = F.shiftrightunsigned("position", 64 - LG_CELLS).cast("int")
-    rows = rows.withColumn("cell", cell)
-    counts = np.zeros(cells, np.int64)
-    for r in rows.groupBy("cell").count().collect():
-        counts[r["cell"]] = r["count"]
-    hot = np.flatnonzero(counts > max(hot_rows, 8 * counts.sum() // cells)).tolist()
-    before: dict[tuple[int, int], int] = {}
-    if hot:
-        marks = spark.createDataFrame([(c,) for c in hot], "cell int")
-        rows = rows.join(F.broadcast(marks.withColumn("hot", F.lit(True))), "cell", "left").withColumn("part", F.when(F.col("hot"), F.col("part")).otherwise(0))
-        at = dict.fromkeys(hot, 0)
-        for r in sorted(rows.where("hot").groupBy("cell", "part").count().collect()):
-            before[r["cell"], r["part"]] = at[r["cell"]]
-            at[r["cell"]] += r["count"]
-    else:
-        rows = rows.withColumn("part", F.lit(0))
+        F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"))
+    alike = stage_table(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")).select(
+        "*", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("ring")), 64 - LG_CELLS).cast("int").alias("cell"),
+        F.shiftrightunsigned(F.xxhash64("doc_id", "size", "text_crc32", F.lit("order")), 64 - ORDER_BITS).alias("at")), "sizes")
+    counts, distinct = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+    for r in alike.groupBy("cell").agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect():
+        counts[r["cell"]], distinct[r["cell"]] = r["n"], r["d"]
     runs: dict[int, list[tuple[int, int, int, int]]] = {}
     for r in place(counts, n_shards, vnodes):
         runs.setdefault(r.cell, []).append((r.lo, r.hi, r.shard, r.base))
-    keyed = [(c, p, before.get((c, p), 0), x) for c, x in runs.items() for p in (range(HOT_PARTS) if c in set(hot) else (0,))] if hot else [(c, 0, 0, x) for c, x in runs.items()]
     run = T.StructType([T.StructField(k, T.LongType()) for k in ("lo", "hi", "shard", "base")])
-    plan = spark.createDataFrame(keyed, T.StructType([
-        T.StructField("cell", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("before", T.LongType()), T.StructField("runs", T.ArrayType(run))]))
-    order = Window.partitionBy("cell", "part").orderBy("position", "doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(F.broadcast(plan), ["cell", "part"])
-    rank = F.col("rank") + F.col("before")
-    mine = F.filter("runs", lambda x: (x["lo"] <= rank) & (rank < x["hi"]))[0]
+    plan = spark.createDataFrame(
+        [(c, int(-(-distinct[c] // part_rows)), x) for c, x in runs.items()],
+        T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("parts", T.LongType()), T.StructField("runs", T.ArrayType(run))]))
+    dealt = alike.join(F.broadcast(plan), "cell").withColumn("part", F.shiftright(F.col("at") * F.col("parts"), ORDER_BITS))
+    of_part = dealt.groupBy("cell", "part").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    of_part = of_part.select("cell", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    order = Window.partitionBy("cell", "part").orderBy("at", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = dealt.withColumn("inside", F.coalesce(F.sum("n").over(order), F.lit(0))).join(of_part, ["cell", "part"])
+    first = F.col("before") + F.col("inside")
+    chunk = F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {copy_rows}")))
+    spread = lambda df: df.withColumn("rank", F.explode(F.sequence("first", "last")))
+    ranked = ranked.withColumn("first", first).withColumn("last", F.col("first") + F.col("n") - 1)
+    if alike.where(F.col("n") > copy_rows).take(1):
+        few, many = ranked.where(F.col("n") <= copy_rows), ranked.where(F.col("n") > copy_rows).withColumn("chunk", chunk)
+        many = many.withColumn("first", F.col("first") + F.col("chunk") * copy_rows).withColumn("last", F.least("last", F.col("first") + copy_rows - 1))
+        ranked = spread(few).unionByName(spread(many.repartition(F.xxhash64("cell", "chunk"))).drop("chunk"))
+    else:
+        ranked = spread(ranked)
+    mine = F.filter("runs", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"]))[0]
     return ranked.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), mine["shard"].cast("int").alias("shard"),
-        (mine["base"] + rank - mine["lo"]).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        (mine["base"] + F.col("rank") - mine["lo"]).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
