@@ -1,8 +1,9 @@
 """URL filters: given rules first, then mined association rules.
 
-Spark's FP-growth mines combinations of URL tokens that go with a label.  Rules
-pruned by support and confidence, and by whether a shorter one says as much,
-are matched by an inverted index from token to rules.
+Spark's FP-growth mines combinations of URL tokens that go with a label.  Tokens
+that stand in the same urls are one item, so that they don't multiply itemsets.
+Rules pruned by support and confidence, and by whether a shorter one says as
+much, are matched by an inverted index from token to rules.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import arrow_map
+from skein.llm.common import arrow_map, stage_table, unstage
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.9
-#: Rules kept, strongest first.  They go to every executor.
-MAX_RULES = 10_000
+#: Begins the item that stands for a label; no token holds its first character.
+_MARK = "\x1flabel="
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -68,48 +69,89 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 @dataclass(frozen=True)
 class MinedRule:
-    items: tuple[str, ...]
+    """Fires where every item has a token; an item is a set of tokens that
+    stood in the same labelled urls."""
+
+    items: tuple[tuple[str, ...], ...]
     label: str
     confidence: float
     support: float
 
+    @property
+    def name(self) -> str:
+        return " ".join("|".join(x) for x in self.items)
+
+
+def _items(baskets: DataFrame, least: float) -> dict[str, list[str]]:
+    """Tokens of at least ``least`` baskets, by the smallest token that stands
+    in the same ones.
+
+    A set of baskets is known by its size and the exclusive or of 128 bits of
+    hash of each.  At most (tokens of a basket on average) / support tokens are
+    frequent, whatever the number of baskets.
+    """
+    each = baskets.select(F.explode("tokens").alias("token"), F.xxhash64("row").alias("a"), F.xxhash64("row", F.lit("b")).alias("b"))
+    sets = each.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).where(F.col("n") >= least)
+    same = sets.groupBy("n", "a", "b").agg(F.sort_array(F.collect_list("token")).alias("tokens")).collect()
+    return {r["tokens"][0]: r["tokens"] for r in same}
+
 
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[MinedRule]:
     """Rules ``tokens -> label`` from all rows ``(tokens, label)``.
 
     A rule stays if it is more confident than the label's share, and than
-    every stayed rule of fewer of its tokens.  No rows give no rules.
+    every stayed rule of fewer of its items.  What one item fewer says as well
+    is pruned in Spark, before rules reach the driver; how many stay depends on
+    the support, not on the number of rows.  Null tokens or labels are left
+    out.  No rows give no rules.
     """
-    n = labelled.count()
-    if n == 0:
+    baskets = stage_table(labelled.where("tokens is not null and label is not null").select(
+        F.array_distinct("tokens").alias("tokens"), "label", F.monotonically_increasing_id().alias("row")), "baskets")
+    shares = {r["label"]: r["count"] for r in baskets.groupBy("label").count().collect()}
+    n = sum(shares.values())
+    items = _items(baskets, min_support * n) if n else {}
+    if not items:
         return []
-    shares = {r["label"]: r["count"] / n for r in labelled.groupBy("label").count().collect()}
-    baskets = labelled.select(F.array_append("tokens", F.concat(F.lit("label="), F.col("label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent")[0].startswith("label="))
-    found = found.select("antecedent", F.substring(F.col("consequent")[0], 7, 1_000).alias("label"), "confidence", "support")
-    rows = found.orderBy(F.desc("confidence"), F.size("antecedent"), F.desc("support"), F.sort_array("antecedent")).limit(MAX_RULES).collect()
+    known = F.array(*[F.lit(x) for x in items])
+    mark = F.concat(F.lit(_MARK), F.col("label"))
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(
+        baskets.select(F.array_append(F.array_intersect("tokens", known), mark).alias("items")))
+    sets = model.freqItemsets.select(F.sort_array(F.filter("items", lambda x: ~x.startswith(_MARK))).alias("items"),
+                                     F.filter("items", lambda x: x.startswith(_MARK)).alias("label"), "freq")
+    whole = sets.where((F.size("label") == 0) & (F.size("items") > 0)).select("items", F.col("freq").alias("of"))
+    rules = stage_table(sets.where((F.size("label") == 1) & (F.size("items") > 0)).join(whole, "items").select(
+        "items", F.substring(F.col("label")[0], len(_MARK) + 1, 1 << 30).alias("label"), (F.col("freq") / F.col("of")).alias("confidence"), (F.col("freq") / n).alias("support")), "rules")
+    strong = rules.where(F.col("confidence") >= min_confidence)
+    shorter = rules.select(F.col("items").alias("fewer"), "label", F.col("confidence").alias("as_good"))
+    less = strong.where(F.size("items") > 1).select("items", "label", "confidence", F.explode("items").alias("x"))
+    said = less.select("items", "label", "confidence", F.array_remove("items", F.col("x")).alias("fewer")).join(shorter, ["fewer", "label"]).where("as_good >= confidence")
+    left = strong.join(said.select("items", "label").distinct(), ["items", "label"], "left_anti").collect()
     kept: list[MinedRule] = []
-    for r in sorted(rows, key=lambda r: (len(r["antecedent"]), sorted(r["antecedent"]))):
-        rule = MinedRule(tuple(sorted(r["antecedent"])), r["label"], r["confidence"], r["support"])
-        shorter = [k for k in kept if k.label == rule.label and k.confidence >= rule.confidence and set(k.items) < set(rule.items)]
-        if rule.confidence > shares.get(rule.label, 1.0) and not shorter:
-            kept.append(rule)
+    index: dict[tuple, list[int]] = {}
+    for r in sorted(left, key=lambda r: (len(r["items"]), r["items"])):
+        hits = Counter(k for t in r["items"] for k in index.get((r["label"], t), ()))
+        fewer = [kept[k] for k, m in hits.items() if m == len(kept[k].items)]
+        if r["confidence"] > shares[r["label"]] / n and not any(k.confidence >= r["confidence"] for k in fewer):
+            for t in r["items"]:
+                index.setdefault((r["label"], t), []).append(len(kept))
+            kept.append(MinedRule(tuple(tuple(items[t]) for t in r["items"]), r["label"], r["confidence"], r["support"]))
+    unstage(baskets, rules)
     return sorted(kept, key=lambda k: (-k.confidence, -len(k.items), -k.support, k.items))
 
 
 class RuleIndex:
-    """Inverted index from token to rules; a rule fires when all its tokens hit."""
+    """Inverted index from token to rules; a rule fires when all its items hit."""
 
     def __init__(self, rules: list[MinedRule]):
         self.rules = rules
-        self.of: dict[str, list[int]] = {}
+        self.of: dict[str, list[tuple[int, int]]] = {}
         for k, r in enumerate(rules):
-            for t in r.items:
-                self.of.setdefault(t, []).append(k)
+            for i, item in enumerate(r.items):
+                for t in item:
+                    self.of.setdefault(t, []).append((k, i))
 
     def first(self, found: list[str]) -> MinedRule | None:
-        hits = Counter(k for t in set(found) for k in self.of.get(t, ()))
+        hits = Counter(k for k, _ in {x for t in found for x in self.of.get(t, ())})
         fired = [k for k, n in hits.items() if n == len(self.rules[k].items)]
         return self.rules[min(fired)] if fired else None
 
@@ -119,7 +161,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[UrlRule], mined: li
     """``(page_id, host, path, rule, verdict, mined_rule, confidence)`` per row.
 
     Where a given rule fits, the longest decides.  Else the strongest mined
-    rule does (confidence, then more tokens, then support), and without one
+    rule does (confidence, then more items, then support), and without one
     ``default``.  ``mined`` may be given; otherwise the rows that given rules
     decide are the labels it is mined from.  Null urls and urls without
     ``://`` have empty host and path and no tokens, so the default holds.
@@ -145,7 +187,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[UrlRule], mined: li
         return pa.RecordBatch.from_arrays([
             *[batch.column(k) for k in range(4)],
             pa.array([g if g is not None else f.label if f else default for g, f in zip(given, fired)], pa.string()),
-            pa.array([" ".join(f.items) if f else None for f in fired], pa.string()),
+            pa.array([f.name if f else None for f in fired], pa.string()),
             pa.array([f.confidence if f else None for f in fired], pa.float64()),
         ], names=["page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence"])
 
