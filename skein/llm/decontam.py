@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,38 +47,62 @@ def words_of(data: bytes | None) -> list[bytes]:
     return data.translate(_LOWER).split() if data else []
 
 
-@dataclass
 class Phrases:
-    """Windows of a block of items, as term numbers; -1 pads short ones."""
+    """A block of items as term numbers, and its windows.
 
-    terms: dict[bytes, int]
-    windows: np.ndarray  # windows x WINDOW
-    length: np.ndarray
-    item: np.ndarray  # index into ids
-    ids: list[str | None]
-    order: np.ndarray | None = None  # offsets, rarest term first
+    What is sent to the executors is a number for each word of the block, its
+    terms and their counts; windows and their orders are made where they are
+    looked up, once a process, as 4 and 1 bytes for each of their words.
+    """
+
+    def __init__(self, terms: list[bytes], words: np.ndarray, sizes: list[int], ids: list[str | None], window: int = WINDOW):
+        self.terms, self.words, self.sizes, self.ids, self.window = terms, words, sizes, ids, window
+        self.counts = np.zeros(len(terms), np.int64)
+        self._made = False
 
     def by_rarity(self, counts: np.ndarray) -> "Phrases":
-        frequency = np.where(self.windows >= 0, counts[self.windows], np.iinfo(np.int64).max)
-        self.order = np.argsort(frequency, axis=1, kind="stable")
+        self.counts, self._made = counts, False
+        return self
+
+    def make(self) -> "Phrases":
+        """``windows`` (-1 pads short ones), their ``length`` and ``item``, and
+        ``order``: their offsets, rarest term first."""
+        if not self._made:
+            each = [np.zeros((0, self.window), np.int32)]
+            length, at = [], 0
+            for n in self.sizes:
+                k = min(self.window, n)
+                found = np.lib.stride_tricks.sliding_window_view(self.words[at : at + n], k)
+                each.append(np.pad(found, ((0, 0), (0, self.window - k)), constant_values=-1))
+                length.append(np.full(len(found), k))
+                at += n
+            self.windows = np.concatenate(each)
+            self.length = np.concatenate([np.zeros(0, np.int64), *length]).astype(np.int64)
+            self.item = np.repeat(np.arange(len(self.sizes)), [len(x) for x in length])
+            self.order = np.empty(self.windows.shape, np.int8)
+            known = np.append(self.counts, np.iinfo(np.int64).max)
+            for lo in range(0, len(self.windows), 1 << 16):
+                self.order[lo : lo + (1 << 16)] = np.argsort(known[self.windows[lo : lo + (1 << 16)]], axis=1, kind="stable")
+            rarest = self.windows[np.arange(len(self.windows)), self.order[:, 0]]
+            self.by_first = np.argsort(rarest, kind="stable")
+            self.first_sizes = np.bincount(rarest, minlength=len(self.terms))
+            self._made = True
         return self
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k in ("terms", "words", "sizes", "ids", "window", "counts")} | {"_made": False}
+
 
 def phrases_of(items: list[tuple[str | None, bytes | None]], window: int = WINDOW) -> Phrases:
     terms: dict[bytes, int] = {}
-    rows, length, item, ids = [], [], [], []
+    numbers, sizes, ids = [np.zeros(0, np.int32)], [], []
     for name, data in items:
-        numbers = [terms.setdefault(w, len(terms)) for w in words_of(data)]
-        if not numbers:
-            continue
-        k = min(window, len(numbers))
-        for i in range(len(numbers) - k + 1):
-            rows.append(numbers[i : i + k] + [-1] * (window - k))
-            length.append(k)
-            item.append(len(ids))
-        ids.append(name)
-    windows = np.array(rows, np.int64).reshape(-1, window)
-    return Phrases(terms, windows, np.array(length, np.int64), np.array(item, np.int64), ids)
+        words = words_of(data)
+        if words:
+            numbers.append(np.array([terms.setdefault(w, len(terms)) for w in words], np.int32))
+            sizes.append(len(words))
+            ids.append(name)
+    return Phrases(list(terms), np.concatenate(numbers), sizes, ids, window)
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, bytes | None]]]:
@@ -94,7 +119,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int = BL
         yield block
 
 
-_SEGMENT = "ids array<bigint>, n_words array<bigint>, terms binary, counts binary, positions binary"
+_SEGMENT = "seg bigint, ids array<bigint>, n_words array<bigint>, terms binary, counts binary, positions binary"
 
 
 def build_index(spark: SparkSession, docs: DataFrame, terms: list[bytes] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,6 +140,7 @@ def build_index(spark: SparkSession, docs: DataFrame, terms: list[bytes] | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = None if sent.value is None else word_hashes(list(sent.value))
         ids, n_words, found, size = [], [], [], 0
+        seg = TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(data)
@@ -123,10 +149,10 @@ def build_index(spark: SparkSession, docs: DataFrame, terms: list[bytes] | None
                 found.append(number(words))
                 size += len(data or b"")
                 if size >= SEGMENT_BYTES:
-                    yield _segment(ids, n_words, found, hashes)
-                    ids, n_words, found, size = [], [], [], 0
+                    yield _segment(seg, ids, n_words, found, hashes)
+                    ids, n_words, found, size, seg = [], [], [], 0, seg + 1
         if ids:
-            yield _segment(ids, n_words, found, hashes)
+            yield _segment(seg, ids, n_words, found, hashes)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     return stage_table(rows.mapInArrow(run, _SEGMENT), "postings")
@@ -141,10 +167,10 @@ def _one_row(values: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in values.values()], names=list(values))
 
 
-_LONGS, _NAMES = pa.list_(pa.int64()), pa.list_(pa.list_(pa.string()))
+_LONGS = pa.list_(pa.int64())
 
 
-def _segment(ids: list, n_words: list[int], found: list[np.ndarray], hashes: np.ndarray | None) -> pa.RecordBatch:
+def _segment(seg: int, ids: list, n_words: list[int], found: list[np.ndarray], hashes: np.ndarray | None) -> pa.RecordBatch:
     tokens = np.concatenate(found)
     where = np.arange(len(tokens)) if hashes is None else np.flatnonzero(tokens >= 0)
     before = _places(np.array(n_words, np.int64)) - (np.cumsum(n_words) - n_words)
@@ -152,7 +178,7 @@ def _segment(ids: list, n_words: list[int], found: list[np.ndarray], hashes: np.
     order = np.argsort(tokens[where], kind="stable")
     terms, counts = np.unique(tokens[where], return_counts=True)
     return _one_row({
-        "ids": (ids, _LONGS), "n_words": (n_words, _LONGS),
+        "seg": (seg, pa.int64()), "ids": (ids, _LONGS), "n_words": (n_words, _LONGS),
         "terms": ((terms if hashes is None else hashes[terms]).astype(np.uint64).tobytes(), pa.binary()),
         "counts": (counts.astype(np.int32).tobytes(), pa.binary()),
         "positions": (places[order].astype(np.uint32).tobytes(), pa.binary()),
@@ -161,7 +187,7 @@ def _segment(ids: list, n_words: list[int], found: list[np.ndarray], hashes: np.
 
 def term_counts(spark: SparkSession, index: DataFrame, p: "Phrases") -> np.ndarray:
     """Occurrences of each test term in the whole corpus."""
-    sent = spark.sparkContext.broadcast(list(p.terms))
+    sent = spark.sparkContext.broadcast(p.terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, total = Numbers(sent.value), np.zeros(len(sent.value), np.int64)
@@ -206,15 +232,17 @@ def look_up(p: Phrases, terms: np.ndarray, counts: np.ndarray, positions: np.nda
     here[terms], begin[terms] = counts, np.cumsum(counts) - counts
     tokens = np.full(size + 2 * _GAP, -1, np.int32)
     tokens[positions + np.uint32(_GAP)] = np.repeat(terms, counts)
-    row = np.arange(len(p.windows))
-    rarest = p.order[:, 0]
-    first = p.windows[row, rarest]
-    some = np.flatnonzero(np.all((here[p.windows] > 0) | (p.windows < 0), axis=1))
-    at, run = _ragged(begin[first[some]], here[first[some]])
+    # Windows come in by their rarest term, if the segment has it.
+    starts = np.cumsum(p.first_sizes) - p.first_sizes
+    some = p.by_first[_ragged(starts[terms], p.first_sizes[terms])[0]]
+    some = some[np.all((here[p.windows[some]] > 0) | (p.windows[some] < 0), axis=1)]
+    rarest = p.order[:, 0].astype(np.int64)
+    first = p.windows[some, rarest[some]]
+    at, run = _ragged(begin[first], here[first])
     exact_w = some[run]
     exact_s = positions[at].astype(np.int64) - rarest[exact_w] + _GAP
     for k in range(1, p.windows.shape[1]):
-        offset = p.order[exact_w, k]
+        offset = p.order[exact_w, k].astype(np.int64)
         term = p.windows[exact_w, offset]
         stay = (term < 0) | (tokens[exact_s + offset] == term)
         exact_w, exact_s = exact_w[stay], exact_s[stay]
@@ -228,7 +256,7 @@ def _look_near(p: Phrases, here: np.ndarray, begin: np.ndarray, positions: np.nd
     lacking = np.count_nonzero((here[p.windows] == 0) & (p.windows >= 0), axis=1)
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for k in range(int(spare.max(initial=-1)) + 1):
-        offset = p.order[:, k]
+        offset = p.order[:, k].astype(np.int64)
         term = p.windows[np.arange(len(p.windows)), offset]
         some = np.flatnonzero((spare >= k) & (lacking <= spare) & (here[term] > 0))
         cuts = np.flatnonzero(np.diff(np.cumsum(here[term[some]]) // NEAR_STARTS)) + 1
@@ -237,7 +265,7 @@ def _look_near(p: Phrases, here: np.ndarray, begin: np.ndarray, positions: np.nd
             w = part[run]
             s, left = positions[at].astype(np.int64) - offset[w] + _GAP, spare[w]
             for j in range(p.windows.shape[1]):
-                o = p.order[w, j]
+                o = p.order[w, j].astype(np.int64)
                 t = p.windows[w, o]
                 hit = t < 0
                 for slack in range(-NEAR_SLACK, NEAR_SLACK + 1):
@@ -263,34 +291,43 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, id
     other columns are not read.  An empty benchmark leaves every row clean.
 
     The corpus is read once, written as postings, and never shuffled.  The
-    benchmark is looked up ``block_bytes`` at a time, each block a broadcast of
-    that bounded size; hits of earlier blocks travel with the segment.
+    benchmark is looked up ``block_bytes`` at a time; a block's broadcast holds
+    its distinct words and 4 bytes for each word.  Each block leaves its hits
+    by segment, which meet their segment's rows at the end.  A benchmark of one
+    block needs postings of its own words only; of more, all are stored.
     """
     blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
     block, following = next(blocks, []), next(blocks, None)
     p = phrases_of(block)
-    state = build_index(spark, docs, list(p.terms) if following is None else None, id_col, text_col)
+    index = build_index(spark, docs, p.terms if following is None else None, id_col, text_col)
+    hits = []
     while True:
-        p.by_rarity(term_counts(spark, state, p))
-        state = _match(spark, state, p, near, last=following is None)
+        p.by_rarity(term_counts(spark, index, p))
+        hits.append(stage_table(_match(spark, index, p, near), "hits"))
         if following is None:
-            return state
-        state = stage_table(state, "hits")
+            break
         p = phrases_of(following)
         following = next(blocks, None)
+    found = reduce(DataFrame.unionByName, hits).groupBy("seg").agg(F.collect_list(F.struct("runs", "docs", "items", "near")).alias("hits"))
+    return index.select("seg", "ids", "n_words").join(found, "seg", "left").select("ids", "n_words", "hits").mapInArrow(_verdicts, _VERDICT)
 
 
+_HITS = "seg bigint, runs binary, docs array<bigint>, items array<string>, near array<boolean>"
 _VERDICT = "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, item_ids array<string>, near_item_ids array<string>"
 
 
-def _match(spark: SparkSession, state: DataFrame, p: Phrases, near: bool, last: bool) -> DataFrame:
-    """One block against all segments: verdicts, or segments with their hits."""
+def _match(spark: SparkSession, index: DataFrame, p: Phrases, near: bool) -> DataFrame:
+    """What one block hits: a row for each segment with a hit.
+
+    ``runs``: where covered words begin and end in the segment.  ``docs`` and
+    ``items``: documents, by their number in it, and items matched; ``near``
+    says whether by proximity.
+    """
     sent = spark.sparkContext.broadcast(p)
-    carried = "hit" in state.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = sent.value
-        numbers = Numbers(list(p.terms))
+        p = sent.value.make()
+        numbers = Numbers(p.terms)
         for row in (r for b in batches for r in b.to_pylist()):
             n_words = np.array(row["n_words"], np.int64)
             first = _places(n_words)
@@ -302,38 +339,47 @@ def _match(spark: SparkSession, state: DataFrame, p: Phrases, near: bool, last:
             by = np.argsort(at[known][run_of], kind="stable")
             some = np.argsort(at[known], kind="stable")
             w, start, near_w, near_start = look_up(p, at[known][some], counts[known][some], positions[take][by], size, near)
+            if not len(w) and not len(near_w):
+                continue
             edge = np.zeros(size + _GAP + 1, np.int64)
             np.add.at(edge, start, 1)
             np.add.at(edge, start + p.length[w], -1)
-            covered = np.cumsum(edge) > 0
-            if carried:
-                covered |= np.unpackbits(np.frombuffer(row["hit"], np.uint8), count=len(covered)).astype(bool)
-            total = np.concatenate([[0], np.cumsum(covered)])
-            n_hit = total[first + n_words] - total[first]
-            items = _by_doc(first, start, p, w, row["items"] if carried else None)
-            close = _by_doc(first, near_start, p, near_w, row["near"] if carried else None)
-            if last:
-                names = [sorted(x) for x in items]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row["ids"], pa.int64()), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]),
-                    pa.array((n_hit > 0) & (20 * n_hit >= n_words)), pa.array(names, pa.list_(pa.string())),
-                    pa.array([sorted(x) for x in close], pa.list_(pa.string())),
-                ], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "near_item_ids"])
-            else:
-                yield _one_row({k: (row[k], t) for k, t in (("ids", _LONGS), ("n_words", _LONGS), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary()))} | {
-                    "hit": (np.packbits(covered).tobytes(), pa.binary()), "items": ([sorted(x) for x in items], _NAMES), "near": ([sorted(x) for x in close], _NAMES)})
-
-    return state.mapInArrow(run, _VERDICT if last else f"{_SEGMENT}, hit binary, items array<array<string>>, near array<array<string>>")
-
-
-def _by_doc(first: np.ndarray, start: np.ndarray, p: Phrases, window: np.ndarray, earlier: list | None) -> list[set[str]]:
-    """Names of the matched items of each document."""
-    out = [set(x) for x in earlier] if earlier is not None else [set() for _ in first]
-    if len(start):
-        doc = np.searchsorted(first - _GAP, start, side="right") - 1
-        pairs = np.unique(np.stack([doc, p.item[window]]), axis=1)
-        for d, i in pairs.T.tolist():
-            if p.ids[i] is not None:
-                out[d].add(p.ids[i])
-    return out
+            turns = np.flatnonzero(np.diff(np.cumsum(edge) > 0, prepend=False))
+            pairs = [(d, i, False) for d, i in _by_doc(first, start, p, w)] + [(d, i, True) for d, i in _by_doc(first, near_start, p, near_w)]
+            docs, items, close = map(list, zip(*pairs)) if pairs else ([], [], [])
+            yield _one_row({"seg": (row["seg"], pa.int64()), "runs": (turns.astype(np.uint32).tobytes(), pa.binary()), "docs": (docs, _LONGS),
+                            "items": (items, pa.list_(pa.string())), "near": (close, pa.list_(pa.bool_()))})
+
+    return index.select("seg", "n_words", "terms", "counts", "positions").mapInArrow(run, _HITS)
+
+
+def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the documents of each segment, from all hits in it."""
+    for row in (r for b in batches for r in b.to_pylist()):
+        n_words = np.array(row["n_words"], np.int64)
+        first = _places(n_words)
+        names, close = ([set() for _ in n_words] for _ in range(2))
+        covered = np.zeros(int(first[-1] + n_words[-1]) + 1 if len(first) else 1, bool)
+        for hit in row["hits"] or ():
+            turns = np.frombuffer(hit["runs"], np.uint32).tolist()
+            for lo, hi in zip(turns[::2], turns[1::2]):
+                covered[lo:hi] = True
+            for d, name, is_near in zip(hit["docs"], hit["items"], hit["near"]):
+                (close if is_near else names)[d].add(name)
+        total = np.concatenate([[0], np.cumsum(covered)])
+        n_hit = total[first + n_words] - total[first]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(row["ids"], pa.int64()), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
+            pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names], pa.string()),
+            pa.array((n_hit > 0) & (20 * n_hit >= n_words)), pa.array([sorted(x) for x in names], pa.list_(pa.string())),
+            pa.array([sorted(x) for x in close], pa.list_(pa.string())),
+        ], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "near_item_ids"])
+
+
+def _by_doc(first: np.ndarray, start: np.ndarray, p: Phrases, window: np.ndarray) -> list[tuple[int, str]]:
+    """Documents and the names of the items matched in them."""
+    if not len(start):
+        return []
+    doc = np.searchsorted(first - _GAP, start, side="right") - 1
+    pairs = np.unique(np.stack([doc, p.item[window]]), axis=1)
+    return [(d, p.ids[i]) for d, i in pairs.T.tolist() if p.ids[i] is not None]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skein.llm import decontam, langid, linespread, neardup, order, pieces, quality, shards, tokencount, urlrules
 
@@ -29,7 +30,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +68,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    near = F.array_join("near_item_ids", ",").alias("near_item_ids")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", near)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -82,7 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-_OP10_SQL = r"""
+_OP10_SQL = rf"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS rid,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -102,11 +105,21 @@ dw AS (
 m AS (SELECT rid, item_id, dw.k, i FROM dw JOIN bw USING (k, phrase)),
 h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM m) GROUP BY rid),
 t AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
-      FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid)
+      FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid),
+p AS (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+f AS (SELECT word, count(*) AS n FROM p GROUP BY word),
+u AS (SELECT row_number() OVER () AS wid, item_id, k, string_split(phrase, ' ') AS x FROM bw),
+o AS (SELECT wid, item_id, k, x, j, word, row_number() OVER (PARTITION BY wid ORDER BY coalesce(n, 0), j) AS rarity
+      FROM (SELECT wid, item_id, k, x, unnest(x) AS word, unnest(range(0, k)) AS j FROM u) LEFT JOIN f USING (word)),
+c AS (SELECT DISTINCT rid, item_id, k, x, i - j AS s FROM o JOIN p USING (word) WHERE rarity <= greatest(k - {decontam.NEAR_WORDS}, 0) + 1),
+g AS (SELECT DISTINCT rid, item_id FROM c JOIN d USING (rid)
+      WHERE len(list_filter(range(0, k), lambda j: list_contains(
+        w[greatest(1, s + j - {decontam.NEAR_SLACK}) : greatest(0, s + j + {decontam.NEAR_SLACK})], x[j + 1]))) >= least(k, {decontam.NEAR_WORDS})),
+v AS (SELECT rid, string_agg(item_id, ',' ORDER BY item_id) AS near FROM g GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(near, '') AS near_item_ids
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN v USING (rid)
 """
 
 _OP9_SQL = f"""

@@ -1,11 +1,12 @@
 """The pipeline's stages, each on its own input, against plain computations."""
 
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
-from test_operators import components_by_hand, contamination_by_hand
+from test_operators import WORD, components_by_hand, contamination_by_hand
 
 import corpus_pipeline
+from skein.llm import langid, linespread
 from skein.llm.queries import ORACLES, QUERIES
 
 
@@ -40,18 +41,31 @@ def test_decontamination_drops_what_is_contaminated(spark, sf_dir, stages):
     assert {r.doc_id for r in after} == {r.doc_id for r in before if not contamination_by_hand(r.text, items)[-1]}
 
 
-def test_language_id_keeps_clean_documents(stages):
+def test_language_id_keeps_clean_documents(spark, stages):
     before, after = stages["language_id"]
     assert len(after) >= 0.98 * len(before)
+    docs = spark.createDataFrame(before)
+    found = {r.doc_id: r for r in langid.identify(spark, docs, langid.learn(docs)).collect()}
+    assert {r.doc_id for r in after} == {k for k, r in found.items() if r.lang_pred != "und" and r.score >= 0.2}
 
 
-def test_line_dedup_only_takes_lines(stages):
+def test_line_dedup_by_hand(stages):
     before, after = stages["line_dedup"]
-    texts = {r.doc_id: r.text for r in before}
-    for r in after:
-        left = Counter(texts[r.doc_id].split("\n"))
-        left.subtract(r.text.split("\n"))
-        assert min(left.values()) >= 0 and r.n_chars == len(r.text)
+    spread, first = defaultdict(set), {}
+    for r in before:
+        for place, line in enumerate((r.text or "").split("\n")):
+            if len(WORD.findall(line)) >= linespread.MIN_WORDS:
+                if r.source is not None:
+                    spread[line].add(r.source)
+                first[line] = min(first.get(line, (r.doc_id, place)), (r.doc_id, place))
+    want = {}
+    for r in before:
+        lines = (r.text or "").split("\n")
+        kept = [x for place, x in enumerate(lines) if len(spread[x]) < linespread.MIN_SITES or first[x] == (r.doc_id, place)]
+        if len(kept) == len(lines) or WORD.search("\n".join(kept)):
+            want[r.doc_id] = "\n".join(kept) if r.text is not None else None
+    assert {r.doc_id: r.text for r in after} == want
+    assert all(r.n_chars == len(r.text) for r in after)
 
 
 def test_all_is_encoded(spark, sf_dir, stages):
@@ -68,10 +82,35 @@ def test_sql(spark, duck, sf_dir, name):
     assert Counter(map(tuple, got[names].astype(str).values.tolist())) == Counter(map(tuple, want[names].astype(str).values.tolist()))
 
 
+#: Names that the stages and operators use inside.
+CLASHES = ["kept_text", "text_key", "kept_id", "kept_hash", "n_removed", "n_lines", "lines_removed", "text_hash", "component", "file", "place", "row", "id", "h1", "line_places"]
+
+
 def test_odd_rows_and_empty_tables(spark, sf_dir):
-    rows = [(1, None, None, None, None), (None, "a b c d e f", "en", "s", 11), (2, "", "en", "s", 0), (2, "", "en", "s", 0)]
+    text = "a b c d e f words in a row that are long enough to be something"
+    rows = [(1, None, None, None, None), (None, text, "en", "s", 63), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, text, "en", "t", 63), (3, text, "de", "u", 63),
+            (4, "word " * 50_000, "en", "s", 250_000), (5, None, "en", "s", 7), (5, None, "en", "s", 7)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
-        for _, stage in corpus_pipeline.STAGES[:-1]:
-            docs = stage(spark, docs, sf_dir)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() <= 4
+    extra = [(*r, *(f"{c}{k}" for c in CLASHES)) for k, r in enumerate(rows)]
+    schemas = f"{schema}, {', '.join(f'{c} string' for c in CLASHES)}"
+    for docs in (spark.createDataFrame(extra, schemas), spark.createDataFrame([], schemas), spark.createDataFrame(rows, schema)):
+        before = {r.lang: r for r in docs.collect()}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, docs, sf_dir)
+            assert found.columns == docs.columns, name
+            got = Counter(found.collect())
+            assert not got - Counter(docs.collect()) or name == "line_dedup", name
+            if name == "near_dedup" and before:
+                # Of the three rows with one text the one with the smallest id
+                # stays, of two such the first; rows without words all do.
+                assert sum(r.text == text for r in got.elements()) == 1 and {r.doc_id for r in got if r.text == text} == {3}
+                assert sum(not r.text for r in got.elements()) == 5
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_line_dedup_keeps_other_columns(spark, sf_dir):
+    line = "accept all of our cookies"
+    rows = [(k, f"own words {k}\n{line}", "en", f"s{k % 4}", 99, "was here") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_removed string")
+    got = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, docs, sf_dir).collect()}
+    assert all(got[k].text == f"own words {k}" and got[k].n_chars == 11 and got[k].n_removed == "was here" for k in range(1, 9)) and got[0].n_chars == 99
