@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import stage_table
+from skein.llm.common import stage_table, unstage
 
 #: A line on at least this many distinct sites is boilerplate.
 MIN_SITES = 3
@@ -31,32 +31,37 @@ _WORD = r"[^\x20\x09-\x0D]++"
 
 
 def boilerplate_lines(occurrences: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """Keys ``(h1, h2)`` of lines on ``min_sites`` distinct sites or more.
+    """Staged keys ``(h1, h2)`` of lines on ``min_sites`` distinct sites or more.
 
     ``occurrences``: a staged table with h1, h2, site and piece.  A null site
     counts as no site.
     """
     frequent = occurrences.groupBy("h1", "h2").agg(F.count("site").alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"))
     frequent = frequent.where((F.col("n") >= min_sites) & ((F.lit(min_sites) < 2) | (F.col("lo") != F.col("hi")))).select("h1", "h2")
-    some = stage_table(occurrences.join(frequent, ["h1", "h2"], "left_semi").select("h1", "h2", "site", "piece"), "line-sites")
-    pieces = some.where("site is not null").groupBy("h1", "h2", "piece").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
+    some = stage_table(occurrences.where("site is not null").join(frequent, ["h1", "h2"], "left_semi").select("h1", "h2", "site", "piece"), "line-sites")
+    pieces = some.groupBy("h1", "h2", "piece").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     estimate = pieces.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites"))
     band = max(1.0, BAND * 1.04 / 2 ** (LG_K / 2) * min_sites)
     estimate = stage_table(estimate.where(F.col("sites") >= min_sites - band), "line-estimates")
     sure = estimate.where(F.col("sites") > min_sites + band).select("h1", "h2")
     near = estimate.where(F.col("sites") <= min_sites + band).select("h1", "h2")
+    # A line's occurrences become its sites, map-side first, before any line
+    # meets in one task.  An inner join, as a semi-join would be moved below.
     exact = (
-        some.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "site").distinct()
+        some.select("h1", "h2", "site").distinct().join(near, ["h1", "h2"])
         .groupBy("h1", "h2").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites).select("h1", "h2")
     )
-    return sure.unionByName(exact)
+    bad = stage_table(sure.unionByName(exact), "boilerplate")
+    unstage(some, estimate)
+    return bad
 
 
 def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source",
-                       min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+                       min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """All columns of ``docs``, the text without boilerplate, and two counts.
 
-    ``n_lines`` is the number of lines before, ``n_removed`` of those removed.
+    The first of ``counts`` names the number of lines before, the second of
+    those removed; a name that ``docs`` has gets underscores behind it.
     The occurrence with the smallest id (null ids last), then text hash, then
     place stays, so no passage leaves the corpus.  Null texts stay null with 0
     lines; an empty text has one empty line; null sites count for none.
@@ -71,12 +76,15 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     occurrences = stage_table(
         lines.select("doc", "text_hash", "site", "place", F.xxhash64("line").alias("h1"), F.hash("line", F.length("line")).alias("h2"),
                      F.pmod(F.xxhash64("text_hash", "place"), F.lit(PIECES)).cast("int").alias("piece")), "lines")
-    bad = stage_table(boilerplate_lines(occurrences, min_sites), "boilerplate")
+    bad = boilerplate_lines(occurrences, min_sites)
     found = stage_table(occurrences.join(bad, ["h1", "h2"], "left_semi").select("h1", "h2", "doc", "text_hash", "place"), "boilerplate-places")
     first = found.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc").isNull().alias("z"), "doc", "text_hash", "place")).alias("first"))
+    # Staged, so that the join's sides are plain exchanges, which can be split.
+    first = stage_table(first, "first-places")
     goes = found.join(first, ["h1", "h2"]).where(
         ~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("text_hash") == F.col("first.text_hash")) & (F.col("place") == F.col("first.place"))))
     by_doc = stage_table(goes.groupBy("doc", "text_hash").agg(F.collect_set("place").alias("places")), "removals")
+    unstage(occurrences, bad, found, first)
 
     taken = {c.lower() for c in docs.columns}
     name = lambda x: x if x not in taken else name(f"{x}_")
@@ -87,8 +95,7 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = F.split(F.col(text_col), "\n")
     cleaned = F.when(F.col(p).isNull(), F.col(text_col)).otherwise(
         F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col(p), i)), "\n"))
-    counts = [F.coalesce(F.size(parts), F.lit(0)).cast("long"), F.coalesce(F.size(p), F.lit(0)).cast("long")]
-    counts = [F.when(F.col(text_col).isNull(), 0).otherwise(counts[0]).cast("long"), F.when(F.col(p).isNull(), 0).otherwise(counts[1]).cast("long")]
+    numbers = [F.when(F.col(x).isNull(), 0).otherwise(F.coalesce(F.size(y), F.lit(0))).cast("long") for x, y in ((text_col, parts), (p, F.col(p)))]
     return joined.select(
         *[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        counts[0].alias(name("n_lines")), counts[1].alias(name("n_removed")))
+        *[n.alias(name(c)) for n, c in zip(numbers, counts)])
