@@ -1,7 +1,8 @@
 """Training-corpus pipeline: five operators over ``documents``, in order.
 
-Every stage takes and returns the columns of ``documents``, but for the last,
-which returns piece ids.  ``run`` writes each stage's rows to the shared folder
+Every stage takes and returns the columns of its input, whatever others there
+are beside those of ``documents``, but for the last, which returns piece ids.
+An empty table stays one.  ``run`` writes each stage's rows to the shared folder
 and gives the next one what it reads back.
 """
 
@@ -12,45 +13,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import decontam, langid, linespread, neardup, pieces
-from skein.llm.common import stage_table
+from skein.llm.common import address, as_table, stage_table
 
 #: Stages that sample or sketch have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have."""
+    return name if name.lower() not in {c.lower() for c in docs.columns} else _fresh(docs, name + "_")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go."""
+    """Documents without a recognised language go: null texts, texts without a
+    letter, texts of no learnt language.  Repeated rows are judged alike."""
     return langid.keep_identified(spark, docs, langid.learn(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site lines stay in their first document only; texts that lose all
-    their words by that go, and ``n_chars`` follows the text."""
-    found = linespread.remove_boilerplate(docs)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    their words by that go, and ``n_chars``, if there is one, follows the text.
+
+    Null and empty texts stay as they are.  Repeated rows keep the same lines.
+    Of ties for the first document the smaller text hash is first.
+    """
+    lines, removed = _fresh(docs, "lines_before"), _fresh(docs, "lines_removed")
+    found = linespread.remove_boilerplate(docs, counts=(lines, removed))
+    emptied = (F.col(removed) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     cleaned = found.where(~F.coalesce(emptied, F.lit(False)))
-    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    n_chars = F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
+    return cleaned.select(*[n_chars.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the smallest id stays."""
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    hashed = docs.withColumn("kept_text", F.xxhash64("text"))
-    same = (F.col("kept_text") == F.col("kept_hash")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    return hashed.join(kept, same, "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates one row stays.
+
+    It is the one with the smallest id, null ids last; of several rows with
+    that id, repeated ones too, the first by file and place in the stage's
+    input.  Rows without words (null and empty texts) are in no group and all
+    stay, repeated ones too.
+    """
+    table = as_table(docs)
+    rows = neardup.near_duplicates(table).select(F.col("doc_id").isNull().alias("null_id"), "doc_id", "component", "file", "place")
+    rows = stage_table(rows, "rows-by-group")
+    best = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("null_id", "doc_id", "file", "place")).alias("best"))
+    stay = rows.where("component is null").select("file", "place").unionByName(best.select("best.file", "best.place"))
+    whole = table.select(F.struct(*table.columns).alias("row"), *address(table))
+    return whole.join(stay, ["file", "place"], "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents contaminated by the benchmark go."""
+    """Documents contaminated by the benchmark go.  Null and empty texts are
+    clean; rows with one text are judged alike; an empty benchmark takes none."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    found = decontam.decontaminate(spark, keyed, benchmark, id_col="text_key", near=False)
-    bad = stage_table(found.where("contaminated").select(F.col("doc_id").alias("text_key")).distinct(), "contaminated")
-    return keyed.join(bad, "text_key", "left_anti").select(docs.columns)
+    key = _fresh(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    found = decontam.decontaminate(spark, keyed, benchmark, id_col=key, near=False)
+    bad = stage_table(found.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return keyed.join(bad, key, "left_anti").select(docs.columns)
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document that is left."""
+    """``(doc_id, ids, n_ids, lossless)`` of every row that is left; a null
+    text has null ids.  Repeated rows have equal ids.  Other columns go."""
     return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -5,7 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import accumulate, combinations
 from pathlib import Path
 
 import numpy as np
@@ -189,6 +189,12 @@ def test_parts_of_every_kind_of_white_space():
         got = store.of(some)
         at = [*got.begins.tolist(), len(got.index)]
         assert ["".join(got.values[k] for k in got.index[i:j].tolist()) for i, j in zip(at[:-1], at[1:])] == some
+    long = "".join(random.Random(2).choices(["word", " ", "\n", "<x", "\t"], k=500))
+    for size in (1, 7, 100):
+        some = [x for x, _ in parts.slices(long, size)]
+        assert "".join(some) == long and len(some) > 3 and [last for _, last in parts.slices(long, size)] == [False] * (len(some) - 1) + [True]
+        cuts = set(accumulate(map(len, some[:-1])))
+        assert cuts <= {m.start() for m in re.finditer(r"(?=[ \n\t][^\s<])", long)}
     assert ["".join(x) for _, x, _ in parts.groups(["ab " * 9, None, "", "c"], most=5)] == ["ab " * 9, "c"]
 
 
@@ -436,6 +442,18 @@ def test_pieces_are_drawn_by_weight(vocabulary):
     assert max(abs(drawn[tuple(w)] / n - x) for w, x in zip(ways, p / p.sum())) < 0.02
 
 
+def test_few_and_many_chunks_are_drawn_alike(vocabulary, monkeypatch):
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(["漢", "the", "ab", "привет", "qzx", "😀", "▁", "1", " "], k=rng.randint(0, 200))) for _ in range(100)] + ["y" * 3000, "ab" * 2000]
+    seeds = np.array([pieces.row_seed(k, 0) for k in range(len(texts))], np.uint64)
+    found = []
+    for few, walks in ((48, 4), (1, 0), (10**9, 10**9)):
+        monkeypatch.setattr(pieces, "FEW", few)
+        monkeypatch.setattr(pieces, "FEW_WALKS", walks)
+        found.append(vocabulary.sample(texts, seeds))
+    assert all((f == found[0][0]).all() and (n == found[0][1]).all() for f, n in found)
+
+
 def test_long_texts_are_cut_where_no_piece_spans(vocabulary, monkeypatch, spark):
     rng = random.Random(1)
     text = "".join(rng.choice(["漢", "字", "the", "ab", "ы", "qzx", "😀", "▁", "1"]) for _ in range(9000))
@@ -568,6 +586,8 @@ def test_url_odd_rows_and_mined_rules(spark):
     urls = [None, "", "no scheme", "http://", "x://A.COM", "http://b.com?u=/en/", "http://EXAMPLE.com/en/1#f", "a://b://c.net/es/", "http://example.com/en", "http://www.example.com/en/x\ny"]
     urls += [f"http://spam{k}.org/buy/now" for k in range(40)] + [f"http://site{k}.org/read/{k}" for k in range(40)]
     df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    for c in ("host", "path", "rule", "given", "verdict", "tokens", "label"):
+        df = df.withColumn(c, F.lit("of the page"))
     mined = [urlrules.MinedRule((("path:buy",), ("path:now",)), "block", 1.0, 0.5)]
     got = {r.page_id: r for r in urlrules.judge(spark, df, URL_RULES, mined).collect()}
     for k, u in enumerate(urls):
