@@ -36,8 +36,11 @@ def boilerplate_lines(occurrences: DataFrame, min_sites: int = MIN_SITES) -> Dat
     ``occurrences``: a staged table with h1, h2, site and piece.  A null site
     counts as no site.
     """
-    frequent = occurrences.groupBy("h1", "h2").agg(F.count("site").alias("n"), F.min("site").alias("lo"), F.max("site").alias("hi"))
-    frequent = frequent.where((F.col("n") >= min_sites) & ((F.lit(min_sites) < 2) | (F.col("lo") != F.col("hi")))).select("h1", "h2")
+    # Hashes of sites, as their minima need no sort.  Staged, so that the join's
+    # sides are plain exchanges, which can be split, or one is small enough.
+    of_site = F.when(F.col("site").isNotNull(), F.xxhash64("site"))
+    frequent = occurrences.groupBy("h1", "h2").agg(F.count("site").alias("n"), F.min(of_site).alias("lo"), F.max(of_site).alias("hi"))
+    frequent = stage_table(frequent.where((F.col("n") >= min_sites) & ((F.lit(min_sites) < 2) | (F.col("lo") != F.col("hi")))).select("h1", "h2"), "frequent-lines")
     some = stage_table(occurrences.where("site is not null").join(frequent, ["h1", "h2"], "left_semi").select("h1", "h2", "site", "piece"), "line-sites")
     pieces = some.groupBy("h1", "h2", "piece").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"))
     estimate = pieces.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("sites"))
@@ -52,7 +55,7 @@ def boilerplate_lines(occurrences: DataFrame, min_sites: int = MIN_SITES) -> Dat
         .groupBy("h1", "h2").agg(F.count("site").alias("sites")).where(F.col("sites") >= min_sites).select("h1", "h2")
     )
     bad = stage_table(sure.unionByName(exact), "boilerplate")
-    unstage(some, estimate)
+    unstage(frequent, some, estimate)
     return bad
 
 
