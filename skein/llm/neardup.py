@@ -332,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             [*batch.columns[1:], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), *(pa.array([x[k] for x in sigs], pa.binary()) for k in (0, 1))],
             names=["doc_id", "file", "place", "n_shingles", "id", "sig", "roots"])
 
-    table = as_table(docs)
+    table = as_table(docs.select(*dict.fromkeys((id_col, text_col))))
     texts = table.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *address(table))
     rows = stage_table(arrow_map(texts, profile, "doc_id long, file long, place long, n_shingles long, id binary, sig binary, roots binary"), "profiles")
     # Rows of one class are alike but for where their text is.
