@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -108,6 +109,26 @@ def pinned(spark: SparkSession, **conf: str) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; behind the last one, memory that is free goes back to the
+    system.
+
+    A worker serves one task after the other, and an executor has up to two
+    workers a core.  What all of them once needed stays theirs otherwise, and
+    counts as the executor's beside the task that runs."""
+    try:
+        yield from batches
+    finally:
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+        pa.default_memory_pool().release_unused()
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``mapInArrow``, after which a task's worker keeps no memory for itself."""
+    return df.mapInArrow(lambda batches: freed(fn(batches)), schema)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; ``None`` drops the batch."""
 
@@ -117,7 +138,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if out is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import address, arrow_map, as_table, components, mix, stage_table, unstage, utf8, window_hashes, word_hashes
+from skein.llm.common import address, arrow_map, as_table, components, map_batches, mix, stage_table, unstage, utf8, window_hashes, word_hashes
 
 SHINGLE = 5
 #: Links have 100 * intersection >= LINK * union.
@@ -113,7 +113,7 @@ def _by_group(rows: DataFrame, fn: Callable[[dict[str, list]], list[tuple]], out
                 found = []
         yield batch(found)
 
-    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return map_batches(rows.repartition(key).sortWithinPartitions(key), run, schema)
 
 
 def _stars(ids: list[bytes], label: np.ndarray) -> list[tuple[bytes, bytes]]:

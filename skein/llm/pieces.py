@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import mix
+from skein.llm.common import map_batches, mix
 
 MARK = "▁"
 #: Weight of a piece: (2 + merge rank) ** -ALPHA.  The model's own scores are
@@ -36,8 +36,9 @@ MARK = "▁"
 ALPHA = 1.0
 #: Pieces scored below this are never used by the model itself.
 LEAST_SCORE = -1e8
-#: Characters of the texts that are segmented together.
-BATCH_CHARS = 1 << 20
+#: Characters of the texts that are segmented together, and rows whose texts
+#: and ids are held at once.
+BATCH_CHARS, ROWS_IN = 1 << 17, 1_024
 #: Edges at one depth, and walks, from which on they are handled together.
 FEW, FEW_WALKS = 48, 4
 #: Rows that are given out together, at least.
@@ -351,35 +352,40 @@ def encode(docs: DataFrame, model_path: str, seed: int = 0, alpha: float = ALPHA
     id and text, repeated ones too, get the same ids; null ids share a seed.
     Other columns are not read.  Whole texts are segmented, without a shuffle,
     ``BATCH_CHARS`` characters at a time, long texts in stretches.  Beside the
-    batch and its ids memory holds one stretch's lattice; a stretch is longer
-    only where a text has neither a blank nor a place that no piece spans.
+    batch and the ids of ``ROWS_IN`` rows memory holds one stretch's lattice; a
+    stretch is longer only where a text has neither a blank nor a place that no
+    piece spans.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = load_pieces(model_path, alpha)
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ids: list[np.ndarray] = []
-            done, same, count = 0, np.ones(len(texts), bool), np.zeros(len(texts), np.int64)
-            for rows, some, places in _stretches(texts):
-                seeds = np.array([row_seed(keys[k], seed) for k in rows], np.uint64)
-                flat, n = pieces.sample(some, seeds, np.array(places, np.int64))
-                offset, plain = np.concatenate([[0], np.cumsum(n)]), flat.tolist()
-                for a, b, k, t in zip(offset[:-1].tolist(), offset[1:].tolist(), rows, some):
-                    same[k] &= pieces.decode(plain[a:b]) == t if t is not None else True
-                np.add.at(count, rows, n)
-                ids.append(flat)
-                # All rows before the stretch's last one are complete.
-                if rows[-1] - done >= ROWS_OUT:
-                    last = rows[-1]
-                    rest = int(count[last])
-                    flat = np.concatenate(ids)
-                    yield _encoded(batch, done, last, flat[: len(flat) - rest], count, same, texts)
-                    done, ids = last, [flat[len(flat) - rest :]]
-            yield _encoded(batch, done, len(texts), np.concatenate([np.empty(0, np.int32), *ids]), count, same, texts)
+        return encoded_batches(load_pieces(model_path, alpha), batches, seed)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, n_ids long, lossless boolean")
+    return map_batches(rows, run, "doc_id long, ids array<int>, n_ids long, lossless boolean")
+
+
+def encoded_batches(pieces: Pieces, batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+    """The result for batches of ids and texts."""
+    for batch in (b.slice(lo, ROWS_IN) for b in batches for lo in range(0, b.num_rows, ROWS_IN)):
+        keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ids: list[np.ndarray] = []
+        done, same, count = 0, np.ones(len(texts), bool), np.zeros(len(texts), np.int64)
+        for rows, some, places in _stretches(texts):
+            seeds = np.array([row_seed(keys[k], seed) for k in rows], np.uint64)
+            flat, n = pieces.sample(some, seeds, np.array(places, np.int64))
+            offset, plain = np.concatenate([[0], np.cumsum(n)]), flat.tolist()
+            for a, b, k, t in zip(offset[:-1].tolist(), offset[1:].tolist(), rows, some):
+                same[k] &= pieces.decode(plain[a:b]) == t if t is not None else True
+            np.add.at(count, rows, n)
+            ids.append(flat)
+            # All rows before the stretch's last one are complete.
+            if rows[-1] - done >= ROWS_OUT:
+                last = rows[-1]
+                rest = int(count[last])
+                flat = np.concatenate(ids)
+                yield _encoded(batch, done, last, flat[: len(flat) - rest], count, same, texts)
+                done, ids = last, [flat[len(flat) - rest :]]
+        yield _encoded(batch, done, len(texts), np.concatenate([np.empty(0, np.int32), *ids]), count, same, texts)
 
 
 def _encoded(batch: pa.RecordBatch, lo: int, hi: int, flat: np.ndarray, count: np.ndarray, same: np.ndarray, texts: list[str | None]) -> pa.RecordBatch:
